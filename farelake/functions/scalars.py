@@ -75,7 +75,7 @@ def is_json_document(text: str | Column) -> Column:
     """
     value = col_of(text)
     opened = F.substring(F.ltrim(value), 1, 1).isin("{", "[")
-    return opened & F.get_json_object(value, "$").isNotNull()
+    return F.when(value.isNotNull(), opened & F.get_json_object(value, "$").isNotNull())
 
 
 def default_to(value: str | Column, fallback) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farelake.functions.scalars import OPEN_END
+from farelake.operators.joins import join_spreading_nulls
 from farelake.operators.keys import assign_surrogate_keys
 from farelake.operators.latest import latest_per_key
 from farelake.operators.neighbours import with_neighbour
@@ -43,45 +44,54 @@ def _close_versions(one_per_time: DataFrame, key: str, tracked: Sequence[str], c
     )
 
 
-def merge_versions(dimension: DataFrame, changes: DataFrame, key: str, surrogate: str, changed_at: str,
-                   sequence: Sequence[str], tracked: Sequence[str], chunk: str = "month") -> DataFrame:
-    """Apply a feed, late values included, to an existing versioned dimension.
+def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key: str, surrogate: str,
+                   changed_at: str, sequence: Sequence[str], tracked: Sequence[str],
+                   chunk: str = "month") -> DataFrame:
+    """Bring a versioned dimension up to date after new or late changes.
 
-    The whole history of the keys in the feed is rebuilt from their versions
-    and the new values; all other keys pass through. A version that keeps its
-    key and start keeps its surrogate key, others get new ones.
+    ``log`` is the whole change log, ``touched`` the keys with new entries.
+    Those keys' histories are rebuilt from the log, so a late change splits
+    the version it falls into; all other keys pass through. A version that
+    keeps its key and start keeps its surrogate key, others get new ones.
     """
-    feed = changes.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked)
-    new = latest_per_key(feed, [key, START], sequence).select(key, START, *tracked)
-    touched = new.select(key).distinct()
+    keys = touched.select(key).distinct()
     columns = [surrogate, key, *tracked, START, END, CURRENT]
-    kept = dimension.select(columns).join(touched, key, "left_anti")
-    history = dimension.join(touched, key, "left_semi").select(key, START, *tracked, F.lit(0).alias("_source"))
-    values = latest_per_key(history.unionByName(new.withColumn("_source", F.lit(1))), [key, START], ["_source"])
-    rebuilt = _close_versions(values.drop("_source"), key, tracked, chunk)
+    untouched = dimension.select(columns).join(keys, key, "left_anti")
+    rebuilt = build_versions(log.join(keys, key, "left_semi"), key, changed_at, sequence, tracked, chunk)
     known = dimension.select(key, START, surrogate)
-    matched = rebuilt.join(known, [key, START], "left")
-    version_id = F.concat_ws("@", F.col(key).cast("string"), F.col(START).cast("string"))
-    fresh = matched.where(F.col(surrogate).isNull()).drop(surrogate).withColumn("_version", version_id)
+    fresh = with_version_id(rebuilt.join(known.drop(surrogate), [key, START], "left_anti"), key)
     last = dimension.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("n"))
-    numbered = fresh.join(assign_surrogate_keys(fresh, "_version", surrogate, start_after=last), "_version")
-    return (kept.unionByName(matched.where(F.col(surrogate).isNotNull()).select(columns))
+    numbered = fresh.join(assign_surrogate_keys(fresh, VERSION, surrogate, start_after=last), VERSION)
+    return (untouched.select(columns)
+            .unionByName(rebuilt.join(known, [key, START]).select(columns))
             .unionByName(numbered.select(columns)))
 
 
+VERSION = "version_id"
+
+
+def with_version_id(versions: DataFrame, key: str) -> DataFrame:
+    """Add a text that names a version: business key and start."""
+    start = F.date_format(START, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return versions.withColumn(VERSION, F.concat(F.col(key).cast("string"), F.lit("@"), start))
+
+
+def with_version_keys(versions: DataFrame, key: str, surrogate: str) -> DataFrame:
+    """Number the versions of a first load."""
+    rows = with_version_id(versions, key)
+    return rows.join(assign_surrogate_keys(rows, VERSION, surrogate), VERSION).drop(VERSION)
+
+
 def join_version(facts: DataFrame, versions: DataFrame, key: str, surrogate: str, at: Column,
-                 unknown: int, fact_key: str | None = None) -> DataFrame:
+                 unknown: int, spread_by: str) -> DataFrame:
     """Add the surrogate key of the version valid at ``at`` (start included, end not).
 
     An equi join on the business key with the interval as extra condition. A
     fact without a match gets ``unknown``.
     """
-    fact_key = fact_key or key
     side = versions.select(F.col(key).alias("_key"), F.col(START).alias("_from"), F.col(END).alias("_to"),
                            F.col(surrogate).alias("_sk"))
-    rows = facts.withColumn("_at", at)
-    joined = rows.join(
-        side, (F.col(fact_key) == F.col("_key")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")),
-        "left")
+    valid = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    joined = join_spreading_nulls(facts.withColumn("_at", at), side, key, "_key", spread_by, valid)
     return (joined.withColumn(surrogate, F.coalesce("_sk", F.lit(unknown).cast("bigint")))
-            .drop("_key", "_from", "_to", "_sk", "_at"))
+            .drop("_from", "_to", "_sk", "_at"))

@@ -181,14 +181,15 @@ MAPPINGS = {
                ',"qty":' || cast(cast(l_quantity as decimal(10,2)) as varchar(20)) ||
                ',"ship":"' || cast(cast(l_shipdate as date) as varchar(20)) || '"' ||
                case when l_partkey % 61 = 0 then '' else chr(125) end as raw_data,
-           requested_ts + (l_partkey % 7) * interval '1' hour as ingestion_timestamp,
-           l_orderkey % 10 = 0 as processed,
-           cast(requested_ts + (l_partkey % 7) * interval '1' hour as date) as ingestion_date
+           requested_ts + (l_partkey % 7 + case when l_partkey % 11 = 0 then 720 else 0 end) * interval '1' hour
+               as ingestion_timestamp,
+           l_orderkey % 10 = 0 as processed, cast(requested_ts as date) as ingestion_date
     from {{ride_lines}}""",
     "rider_changes": """
     select cast(o_custkey as int) as rider_id, o_orderdate as changed_at, o_orderkey as change_seq,
            case when o_totalprice < 100000 then 'bronze' when o_totalprice < 250000 then 'silver'
-                else 'gold' end as loyalty_tier
+                else 'gold' end as loyalty_tier,
+           o_orderpriority = '5-LOW' as arrives_late
     from {orders}""",
     "driver_changes": """
     select cast(l_suppkey as int) as driver_id, l_shipdate as changed_at,
@@ -207,6 +208,39 @@ MAPPINGS = {
     from {orders}
     left join (select l_orderkey, min(l_linenumber) as first_line from {lineitem} group by l_orderkey) as lines
       on o_orderkey = l_orderkey""",
+    "method_updates": """
+    select cast(substr(o_orderpriority, 1, 1) as int) as payment_method_id, o_orderkey as update_seq,
+           case when o_totalprice < 200000 then 'credit_card' else 'cash' end as payment_type,
+           case o_orderstatus when 'F' then 'visa' when 'O' then 'mastercard' else 'paypal' end as provider
+    from {orders}""",
+    "holidays": """
+    select cast(d as date) as holiday_date, n as holiday_name
+    from (values ('2001-01-01', 'New Year'), ('2001-12-25', 'Christmas Day'), ('2024-01-01', 'New Year'),
+                 ('2024-12-25', 'Christmas Day')) as t(d, n)""",
+    "data_classification": """
+    select t as table_name, c as column_name, l as classification_level, r as masking_rule,
+           cast(p as int) as retention_period_days
+    from (values ('security_users', 'email', 'CONFIDENTIAL', 'hash', 900),
+                 ('security_users', 'last_name', 'RESTRICTED', 'full', 900),
+                 ('security_users', 'user_id', 'INTERNAL', 'last4', 900),
+                 ('security_users', 'last_login_at', 'INTERNAL', 'year', 900),
+                 ('security_audit_log', 'ip_address', 'CONFIDENTIAL', 'hash', 20),
+                 ('security_audit_log', 'event_type', 'PUBLIC', null, 90)) as v(t, c, l, r, p)""",
+    "access_policies": """
+    select n_nationkey + 1 as policy_sk, 'dim_locations' as resource_pattern,
+           'city = ' || chr(39) || n_name || chr(39) as policy_condition, 'READ' as action_type,
+           n_nationkey % 6 <> 0 as is_active, 100 - n_nationkey as priority_order
+    from {nation}
+    union all
+    select 1000 + n_nationkey, 'dim_locations', 'zone_id=Z' || cast(n_nationkey % 7 as varchar(9)), 'READ', true,
+           80 + n_nationkey
+    from {nation}
+    union all
+    select 2000 + n_nationkey, 'dim_locations', 'city = x or 1 = 1', 'READ', true, 1
+    from {nation}""",
+    "row_requests": """
+    select event_id as request_id, user_id as user_sk, 10000000 + event_id % 10 as location_sk
+    from {events}""",
     "security_users": """
     select c_custkey as user_sk, c_name as user_id, lower(c_name) || '@x.io' as email, c_mktsegment as first_name,
            case when c_custkey % 50 = 7 then null else c_name end as last_name,
