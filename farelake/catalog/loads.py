@@ -11,7 +11,7 @@ from farelake.operators.scd2 import merge_versions, with_version_keys
 from farelake.plans import dimensions, facts, monitoring, views
 from farelake.registry import EVENT_CLOCK, TRIP_CLOCK, query
 from farelake.schemas import ACCEPTED
-from farelake.session import scratch_dir
+from farelake.session import durable, scratch_dir
 
 LOAD_MARK = "1998-01-01 00:00:00"
 
@@ -180,7 +180,8 @@ query("scd2_drivers", "driver_changes", sql=f"with {DRIVER_VERSIONS}\nselect * f
 def scd2_late_changes(wh):
     """A first load without the late changes, then a merge of them; equals one full build."""
     log = wh["rider_changes"]
-    first = with_version_keys(dimensions.scd2_riders(log.where(~F.col("arrives_late"))), "rider_id", "rider_sk")
+    first = durable(with_version_keys(dimensions.scd2_riders(log.where(~F.col("arrives_late"))),
+                                      "rider_id", "rider_sk"), "riders")
     merged = merge_versions(first, log, log.where("arrives_late"), "rider_id", "rider_sk", "changed_at",
                             ["change_seq"], dimensions.RIDER_TRACKED)
     return merged.drop("rider_sk")
@@ -235,8 +236,8 @@ full outer join (select * from (select *, row_number() over (partition by paymen
 
 
 def fact_trips_load(wh):
-    staging = facts.ingest_staging(facts.valid_rows(wh["staging_raw_trips"]))
-    riders = with_version_keys(dimensions.scd2_riders(wh["rider_changes"]), "rider_id", "rider_sk")
+    staging = durable(facts.ingest_staging(facts.valid_rows(wh["staging_raw_trips"])), "clean-staging")
+    riders = with_version_keys(durable(dimensions.scd2_riders(wh["rider_changes"]), "riders"), "rider_id", "rider_sk")
     places = wh["dim_locations"].withColumn("location_id", location_key("latitude", "longitude"))
     return facts.load_fact_trips(staging, {
         "dim_drivers": wh["dim_drivers"], "dim_riders": riders, "dim_locations": places,
@@ -318,7 +319,8 @@ def trip_keys(wh):
 
 query("load_fact_payments", "raw_payments", "staging_raw_trips", "dim_payment_methods", sql=f"""
 with trips as ({numbered('staging_raw_trips', 'trip_id', 'trip_sk')}),
-payment_keys as ({numbered('raw_payments', 'payment_id', 'payment_sk')})
+known_payments as (select * from raw_payments where trip_id in (select trip_id from trips)),
+payment_keys as ({numbered('known_payments', 'payment_id', 'payment_sk')})
 select k.payment_sk, p.payment_id, t.trip_sk,
        cast(coalesce(m.payment_method_sk, -1) as bigint) as payment_method_sk,
        cast(strftime(p.payment_timestamp, '%Y%m%d%H%M') as bigint) as payment_time_sk,

@@ -8,10 +8,10 @@ Rules for one attempt, given the user's failure counter and lock:
 
 Each outcome depends on the ones before it, so a user's attempts are folded in
 time order. Most users are one fold each. A user with more than ``hot_rows``
-attempts is cut into hours: each hour is first summed up as a small table
-"state at its start -> state at its end", those tables are chained by day and
-by month, and once every hour's start state is known all hours are folded at
-the same time.
+attempts is cut into hours, counted from the first attempt: each hour is first
+summed up as a small table "state at its start -> state at its end", those
+tables are chained by day and by month, and once every hour's start state is
+known all hours are folded at the same time.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ LOCK_MINUTES = 30
 LOCK_US = LOCK_MINUTES * 60 * 1_000_000
 
 HOT_ROWS = 100_000
-LEVELS = ("hour", "day", "month")
+BLOCKS = ("day", "month")
 
 OUTCOME_SCHEMA = ("attempt_id bigint, user_sk bigint, attempt_ts timestamp_ntz, event_type string, success boolean, "
                   "result int, failed_login_attempts int, locked_until timestamp_ntz")
@@ -97,7 +97,7 @@ def _table_row(user, begin, entries, outs) -> pd.DataFrame:
                          "reset": [list(reset)], "lock": [list(lock)]})
 
 
-def _slice_table(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _slice_table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Start-to-end table of one user's slice, by one backward pass."""
     pdf = pdf.sort_values(["attempt_ts", "attempt_id"])
     times, good = to_us(pdf["attempt_ts"]), pdf["password_ok"].to_numpy(dtype=bool)
@@ -149,7 +149,7 @@ def _advance(table, counter: int, lock: int) -> tuple[int, int, bool]:
     return int(table.fails[at]) + (0 if reset else counter), int(table.lock[at]), reset
 
 
-def _chain_tables(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _chain_tables(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One table for a run of slices; it has the first slice's possible starts."""
     tables = list(pdf.sort_values("_slice").itertuples(index=False))
     entries = [int(e) for e in tables[0].entries]
@@ -165,7 +165,7 @@ def _chain_tables(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return _table_row(key[0], key[1], entries, outs)
 
 
-def _slice_starts(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _slice_starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """State at the start of each slice, from the state at the first one's start."""
     pdf = pdf.sort_values("_slice")
     counter, lock = int(pdf["_counter"].iloc[0]), int(to_us(pdf["_lock"])[0])
@@ -178,19 +178,20 @@ def _slice_starts(key, pdf: pd.DataFrame) -> pd.DataFrame:
                          "_counter": np.asarray(counters, dtype="int32"), "_lock": to_times(locks)})
 
 
-def _floor(level: str, column: str = "_slice"):
-    return F.date_trunc(level, F.col(column)).cast("timestamp_ntz")
+def _block(level: str):
+    return F.date_trunc(level, F.col("_slice")).cast("timestamp_ntz")
 
 
-def _hot_slice_starts(hot: DataFrame, state: DataFrame, levels=LEVELS) -> DataFrame:
+def _hot_slice_starts(hot: DataFrame, state: DataFrame | None) -> DataFrame:
+    """State at the start of every hour of the hot users."""
     tables = [hot.groupBy("user_sk", "_slice").applyInPandas(_slice_table, TABLE_SCHEMA)]
-    for level in levels[1:]:
-        tables.append(tables[-1].groupBy("user_sk", _floor(level).alias("_block"))
+    for level in BLOCKS:
+        tables.append(tables[-1].groupBy("user_sk", _block(level).alias("_block"))
                       .applyInPandas(_chain_tables, TABLE_SCHEMA))
     starts = (_with_state(tables[-1], state).groupBy("user_sk").applyInPandas(_slice_starts, START_SCHEMA))
-    for finer, level in zip(reversed(tables[:-1]), reversed(levels[1:])):
+    for finer, level in zip(reversed(tables[:-1]), reversed(BLOCKS)):
         blocks = starts.withColumnRenamed("_slice", "_block")
-        starts = (finer.withColumn("_block", _floor(level)).join(blocks, ["user_sk", "_block"])
+        starts = (finer.withColumn("_block", _block(level)).join(blocks, ["user_sk", "_block"])
                   .groupBy("user_sk", "_block").applyInPandas(_slice_starts, START_SCHEMA))
     return starts
 
@@ -215,14 +216,16 @@ def login_outcomes(attempts: DataFrame, state: DataFrame | None = None, hot_rows
     """
     rows = attempts.select("attempt_id", "user_sk", "attempt_ts", F.coalesce("password_ok", F.lit(False))
                            .alias("password_ok"))
-    hot_users = (rows.groupBy("user_sk").agg(F.count(F.lit(1)).alias("_n"))
-                 .where(F.col("_n") > hot_rows).select("user_sk"))
+    hot_users = (rows.groupBy("user_sk").agg(F.count(F.lit(1)).alias("_n"), F.min("attempt_ts").alias("_first"))
+                 .where(F.col("_n") > hot_rows).select("user_sk", "_first"))
     whole = F.lit(None).cast("timestamp_ntz").alias("_slice")
     if hot_users.isEmpty():
         prepared = _with_state(rows.select("*", whole), state)
     else:
         cold = _with_state(rows.join(hot_users, "user_sk", "left_anti").select("*", whole), state)
-        hot = rows.join(hot_users, "user_sk", "left_semi").withColumn("_slice", _floor(LEVELS[0], "attempt_ts"))
+        hours = (F.col("attempt_ts") - F.col("_first")).cast("interval hour").cast("int")
+        hot = (rows.join(hot_users, "user_sk")
+               .withColumn("_slice", F.col("_first") + F.make_dt_interval(hours=hours)).drop("_first"))
         starts = _hot_slice_starts(hot, state)
         prepared = cold.unionByName(hot.join(starts, ["user_sk", "_slice"]))
     return (prepared.repartition("user_sk", "_slice")

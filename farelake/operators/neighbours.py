@@ -7,29 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def with_neighbour(df: DataFrame, key: str, order: str, values: Sequence[str], side: str,
-                   name: str, chunk: str = "month") -> DataFrame:
+CHUNK = "_chunk"
+
+
+def add_chunk(df: DataFrame, order: str, chunk: str) -> DataFrame:
+    """Add the time chunk of each row, as ``with_neighbour`` needs it."""
+    return df.withColumn(CHUNK, F.date_trunc(chunk, F.col(order)).cast("timestamp_ntz"))
+
+
+def with_neighbour(df: DataFrame, key: str, order: str, values: Sequence[str], side: str, name: str) -> DataFrame:
     """Add ``name``: a struct of ``values`` from the row before or after by ``order``.
 
-    ``order`` is a timestamp, unique within the key. A key's rows are cut into
-    time chunks which are windows of their own; the row that a chunk's edge
-    needs from the next chunk comes from a table with one row per key and
-    chunk. So a key with a third of all rows is spread over as many tasks as
-    it has chunks.
+    ``order`` is a timestamp, unique within the key, and ``df`` has its chunk
+    (``add_chunk``). A key's chunks are windows of their own; the row that a
+    chunk's edge needs from the next chunk comes from a table with one row per
+    key and chunk. So a key with a third of all rows is spread over as many
+    tasks as it has chunks. Rows stay partitioned by key and chunk, so a second
+    call adds no shuffle of them.
     """
     if side not in ("previous", "next"):
         raise ValueError(f"side must be 'previous' or 'next', not {side!r}")
     picked = F.struct(*values)
-    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order)).cast("timestamp_ntz"))
-    inside = Window.partitionBy(key, "_chunk").orderBy(order)
-    across = Window.partitionBy(key).orderBy("_chunk")
+    inside = Window.partitionBy(key, CHUNK).orderBy(order)
+    across = Window.partitionBy(key).orderBy(CHUNK)
     if side == "previous":
         near, edge_row, edge = F.lag(picked).over(inside), F.max_by(picked, F.col(order)), F.lag("_edge").over(across)
     else:
         near, edge_row, edge = F.lead(picked).over(inside), F.min_by(picked, F.col(order)), F.lead("_edge").over(across)
-    edges = (rows.groupBy(key, "_chunk").agg(edge_row.alias("_edge"))
-             .select(key, "_chunk", edge.alias("_carried")))
-    return (rows.withColumn("_near", near)
-            .join(edges, [key, "_chunk"], "left")
+    edges = (df.groupBy(key, CHUNK).agg(edge_row.alias("_edge"))
+             .select(key, CHUNK, edge.alias("_carried")))
+    return (df.withColumn("_near", near)
+            .join(edges, [key, CHUNK], "left")
             .withColumn(name, F.coalesce("_near", "_carried"))
-            .drop("_chunk", "_near", "_carried"))
+            .drop("_near", "_carried"))

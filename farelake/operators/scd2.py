@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from farelake.functions.scalars import OPEN_END
 from farelake.operators.joins import join_spreading_nulls
-from farelake.operators.keys import assign_surrogate_keys
+from farelake.operators.keys import highest, number_rows
 from farelake.operators.latest import latest_per_key
-from farelake.operators.neighbours import with_neighbour
+from farelake.operators.neighbours import add_chunk, with_neighbour
 
 START, END, CURRENT = "effective_start_date", "effective_end_date", "is_current"
 
@@ -33,10 +33,11 @@ def build_versions(changes: DataFrame, key: str, changed_at: str, sequence: Sequ
 
 
 def _close_versions(one_per_time: DataFrame, key: str, tracked: Sequence[str], chunk: str) -> DataFrame:
-    before = with_neighbour(one_per_time, key, START, tracked, "previous", "_before", chunk)
+    rows = add_chunk(one_per_time, START, chunk)
+    before = with_neighbour(rows, key, START, tracked, "previous", "_before")
     changed = F.col("_before").isNull() | ~F.struct(*tracked).eqNullSafe(F.col("_before"))
     starts = before.where(changed).drop("_before")
-    after = with_neighbour(starts, key, START, [START], "next", "_after", chunk)
+    after = with_neighbour(starts, key, START, [START], "next", "_after")
     return after.select(
         key, *tracked, START,
         F.coalesce(F.col(f"_after.{START}"), open_end()).alias(END),
@@ -60,8 +61,7 @@ def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key
     rebuilt = build_versions(log.join(keys, key, "left_semi"), key, changed_at, sequence, tracked, chunk)
     known = dimension.select(key, START, surrogate)
     fresh = with_version_id(rebuilt.join(known.drop(surrogate), [key, START], "left_anti"), key)
-    last = dimension.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("n"))
-    numbered = fresh.join(assign_surrogate_keys(fresh, VERSION, surrogate, start_after=last), VERSION)
+    numbered = number_rows(fresh, VERSION, surrogate, highest(dimension, surrogate))
     return (untouched.select(columns)
             .unionByName(rebuilt.join(known, [key, START]).select(columns))
             .unionByName(numbered.select(columns)))
@@ -78,8 +78,7 @@ def with_version_id(versions: DataFrame, key: str) -> DataFrame:
 
 def with_version_keys(versions: DataFrame, key: str, surrogate: str) -> DataFrame:
     """Number the versions of a first load."""
-    rows = with_version_id(versions, key)
-    return rows.join(assign_surrogate_keys(rows, VERSION, surrogate), VERSION).drop(VERSION)
+    return number_rows(with_version_id(versions, key), VERSION, surrogate).drop(VERSION)
 
 
 def join_version(facts: DataFrame, versions: DataFrame, key: str, surrogate: str, at: Column,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farelake.functions.aggregates import count_if, mean
 from farelake.functions.scalars import clock, days_before, full_name
-from farelake.plans.views import Tables
+from farelake.plans.views import Tables, since
 
 AUDIT_DAYS = 30
 ALL_PERMISSIONS_ROLE = "SUPER_ADMIN"
@@ -63,8 +63,8 @@ def v_security_audit_summary(wh: Tables, as_of=None) -> DataFrame:
     account reaches the shuffle as one row per task and event type.
     """
     per_user = (
-        wh["security_audit_log"]
-        .where((F.col("event_timestamp") >= days_before(as_of, AUDIT_DAYS)) & F.col("user_sk").isNotNull())
+        since(wh["security_audit_log"], "event_timestamp", days_before(as_of, AUDIT_DAYS), "event_date")
+        .where(F.col("user_sk").isNotNull())
         .groupBy("user_sk", "event_type")
         .agg(F.count(F.lit(1)).alias("event_count"),
              F.max("event_timestamp").alias("last_event"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from farelake.functions.calendar import calendar_columns
 from farelake.functions.scalars import location_key
 from farelake.operators.latest import latest_per_key
-from farelake.operators.keys import assign_surrogate_keys
+from farelake.operators.keys import highest, number_rows
 from farelake.operators.scd2 import build_versions
 
 RIDER_TRACKED = ["loyalty_tier"]
@@ -41,8 +41,11 @@ def load_locations(staging: DataFrame) -> DataFrame:
 
 
 def with_location_keys(places: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Number places not yet in ``existing``."""
-    return places.join(assign_surrogate_keys(places, "location_id", "location_sk", existing), "location_id")
+    """Number the places ``existing`` lacks."""
+    if existing is None:
+        return number_rows(places, "location_id", "location_sk")
+    fresh = places.join(existing.select("location_id"), "location_id", "left_anti")
+    return number_rows(fresh, "location_id", "location_sk", highest(existing, "location_sk"))
 
 
 def minutes_of(days: DataFrame, column: str) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from farelake.functions.aggregates import count_if, mean, percent, whole_mean
+from farelake.functions.aggregates import mean, percent, whole_mean
 from farelake.functions.scalars import full_name, months_before
 
 Tables = Mapping[str, DataFrame]
@@ -21,6 +21,14 @@ HIGH_EARNINGS = 5000
 TOP_DRIVERS = 100
 
 
+def since(df: DataFrame, column: str, cutoff: Column, partition: str | None = None) -> DataFrame:
+    """Rows from ``cutoff`` on. If the table is stored by ``partition``, its older folders are not read."""
+    rows = df.where(F.col(column) >= cutoff)
+    if partition and partition in df.columns:
+        rows = rows.where(F.col(partition) >= F.to_date(cutoff))
+    return rows
+
+
 def pickup_city(wh: Tables) -> DataFrame:
     """Pickup role of the location dimension, cut to key and city."""
     return wh["dim_locations"].select(F.col("location_sk").alias("pickup_location_sk"), "city")
@@ -94,7 +102,7 @@ def v_top_drivers(wh: Tables, as_of=None) -> DataFrame:
     drivers = (wh["dim_drivers"].where("is_current")
                .select("driver_sk", full_name("first_name", "last_name").alias("driver_name"),
                        "city_code", "driver_rating", F.col("total_trips").alias("lifetime_trips")))
-    days = (wh["fact_driver_daily"].where(F.col("activity_date") >= months_before(as_of, 1))
+    days = (since(wh["fact_driver_daily"], "activity_date", months_before(as_of, 1))
             .select("driver_sk", "activity_date", "average_rating", "gross_earnings", "acceptance_rate"))
     return (
         days.join(drivers, "driver_sk")
@@ -111,8 +119,7 @@ def v_top_drivers(wh: Tables, as_of=None) -> DataFrame:
 def v_city_performance(wh: Tables, as_of=None) -> DataFrame:
     """Last month's trips by pickup city. Unrated trips count as not satisfied."""
     return (
-        wh["fact_trips"]
-        .where(F.col("pickup_timestamp") >= months_before(as_of, 1))
+        since(wh["fact_trips"], "pickup_timestamp", months_before(as_of, 1), "pickup_date")
         .join(pickup_city(wh), "pickup_location_sk")
         .groupBy("city")
         .agg(F.count_distinct("trip_id").alias("total_trips"),

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelake.session import configure
+from farelake.session import configure, scratch_dir
 from farelake.sources.seeds import PERMISSIONS, ROLES
 
 # Columns of the test tables this repo reads.
@@ -328,6 +328,12 @@ def depends_on(name: str) -> list[str]:
     return sorted(set(_REFERENCE.findall(MAPPINGS[name])))
 
 
+# Tables a warehouse keeps on disk. They are written once per session and folder, so that a
+# query meets a stored fact table, with pushed-down filters, and not the mapping's join.
+STORED = ("fact_trips", "fact_driver_daily", "staging_raw_trips", "driver_changes", "rider_changes", "raw_payments")
+_stored_paths: dict[tuple[str, str, str], str] = {}
+
+
 class SampleWarehouse(dict):
     """Warehouse tables by name, built lazily over one folder of test tables."""
 
@@ -339,11 +345,38 @@ class SampleWarehouse(dict):
     def __missing__(self, name: str) -> DataFrame:
         if name in TEST_TABLES:
             frame = self.spark.read.schema(TEST_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in STORED:
+            frame = self._stored(name)
         else:
-            frame = self.spark.sql(MAPPINGS[name], **{d: self[d] for d in depends_on(name)})
+            frame = self._mapped(name)
         self[name] = frame
         return frame
 
+    def _mapped(self, name: str) -> DataFrame:
+        return self.spark.sql(MAPPINGS[name], **{d: self[d] for d in depends_on(name)})
+
+    def _stored(self, name: str) -> DataFrame:
+        """The mapped table, written on first use and read from disk.
+
+        A test table is a file of one row group, which one task reads; it is
+        spread over the cores before it is mapped.
+        """
+        context = self.spark.sparkContext
+        key = (context.applicationId, self.sf_dir, name)
+        if key not in _stored_paths:
+            source = SampleWarehouse(self.spark, self.sf_dir)
+            for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+                source[table] = self[table].repartition(context.defaultParallelism, column)
+            path = scratch_dir(self.spark, f"sample-{name}")
+            source._mapped(name).write.parquet(path)
+            _stored_paths[key] = path
+        return self.spark.read.parquet(_stored_paths[key])
+
+    def load(self) -> None:
+        """Write all stored tables now."""
+        for name in STORED:
+            self[name]
+
 
 def cte_chain(*names: str) -> str:
     """``WITH`` clause that defines the named mappings over the test tables."""
