@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from farelake.operators.logins import login_outcomes, login_state
+from pyspark.sql import functions as F
+
+from farelake.operators.logins import login_audit_rows, login_outcomes, login_state, users_after_logins
 from farelake.plans import access
 from farelake.registry import EVENT_CLOCK, query
 
@@ -79,6 +81,36 @@ select attempt_id, user_sk, attempt_ts,
        cast(failed_login_attempts as integer) as failed_login_attempts, locked_until
 from chain""")(lambda wh: login_outcomes(wh["login_attempts"]))
 
+query("login_audit_rows", "login_attempts", sql=LOGIN_CHAIN + """
+select c.user_sk, case result when 1 then 'LOGIN_SUCCESS' when 0 then 'LOGIN_FAILED' else 'LOGIN_ATTEMPT' end as event_type,
+       case result when 1 then 'User authenticated' when 0 then 'Invalid password' else 'Account locked' end
+           as event_description,
+       result = 1 as success, a.ip_address, a.user_agent, c.attempt_ts as event_timestamp
+from chain c join login_attempts a on a.attempt_id = c.attempt_id""")(
+    lambda wh: login_audit_rows(login_outcomes(wh["login_attempts"], carry=["ip_address", "user_agent"])))
+
+USER_STATE = """
+select user_sk,
+       cast(arg_max(failed_login_attempts, n) as integer) as failed_login_attempts,
+       max(case when result = 0 then attempt_ts end) as last_failed_login,
+       max(case when n = last_failure then locked_until end) as account_locked_until,
+       max(case when result = 1 then attempt_ts end) as last_login_at
+from (select *, max(case when result = 0 then n end) over (partition by user_sk) as last_failure from chain) as c
+group by user_sk"""
+
+
+def users_snapshot(wh):
+    users = wh["security_users"].withColumns({
+        "failed_login_attempts": F.lit(0), "last_failed_login": F.lit(None).cast("timestamp_ntz"),
+        "account_locked_until": F.lit(None).cast("timestamp_ntz")})
+    return users_after_logins(users, login_state(login_outcomes(wh["login_attempts"])))
+
+
+query("users_after_logins", "login_attempts", "security_users", sql=LOGIN_CHAIN + f"""
+select u.* exclude (last_login_at), coalesce(s.failed_login_attempts, 0) as failed_login_attempts,
+       s.last_failed_login, s.account_locked_until, coalesce(s.last_login_at, u.last_login_at) as last_login_at
+from security_users u left join ({USER_STATE}) s on s.user_sk = u.user_sk""")(users_snapshot)
+
 query("login_state", "login_attempts", sql=LOGIN_CHAIN + """
 select user_sk,
        cast(arg_max(failed_login_attempts, n) as integer) as failed_login_attempts,

@@ -39,8 +39,8 @@ FARE_PARTS = ",\n       ".join(
     _part(k, c, "decimal(4,2)" if k == "surge" else "decimal(10,2)") for k, c in facts.FARE_KEYS.items())
 
 
-def numbered(source: str, key: str, name: str, after: str = "0") -> str:
-    return (f"select {key}, cast({after} + row_number() over (order by substr(md5({key}), 1, 3), {key}) as bigint) "
+def numbered(source: str, key: str, name: str, after: str = "0", digits: int = 3) -> str:
+    return (f"select {key}, cast({after} + row_number() over (order by substr(md5({key}), 1, {digits}), {key}) as bigint) "
             f"as {name} from (select distinct {key} from {source} where {key} is not null) as k")
 
 
@@ -265,7 +265,7 @@ rider_keys as ({numbered('version_ids', 'version_id', 'rider_sk')}),
 riders as (select v.*, k.rider_sk from version_ids v join rider_keys k on k.version_id = v.version_id),
 {CHECKED},
 {LATEST.replace('from staging_raw_trips', 'from checked where fare_ok and raw_ok')},
-trip_keys as ({numbered('latest', 'trip_id', 'trip_sk')}),
+trip_keys as ({numbered('latest', 'trip_id', 'trip_sk', digits=4)}),
 places as (select location_sk, {LOCATION_ID.format('latitude', 'longitude')} as location_id from dim_locations),
 raw_parts as (select *,
        {FARE_PARTS} from latest),
@@ -320,7 +320,7 @@ def trip_keys(wh):
 query("load_fact_payments", "raw_payments", "staging_raw_trips", "dim_payment_methods", sql=f"""
 with trips as ({numbered('staging_raw_trips', 'trip_id', 'trip_sk')}),
 known_payments as (select * from raw_payments where trip_id in (select trip_id from trips)),
-payment_keys as ({numbered('known_payments', 'payment_id', 'payment_sk')})
+payment_keys as ({numbered('known_payments', 'payment_id', 'payment_sk', digits=4)})
 select k.payment_sk, p.payment_id, t.trip_sk,
        cast(coalesce(m.payment_method_sk, -1) as bigint) as payment_method_sk,
        cast(strftime(p.payment_timestamp, '%Y%m%d%H%M') as bigint) as payment_time_sk,
@@ -387,6 +387,27 @@ from missing""")(
         wh["rider_changes"].where("arrives_late").select("rider_id", F.col("rider_id").alias("rider_sk")),
         "rider_id", "rider_sk"))
 
+def filled_members(wh):
+    """Riders met before their first loaded change, given the tier of their first late one."""
+    late = wh["rider_changes"].where("arrives_late")
+    known = late.select("rider_id", F.col("rider_id").alias("rider_sk"))
+    members = facts.unknown_members(wh["staging_raw_trips"], known, "rider_id", "rider_sk")
+    first = (wh["rider_changes"].where("not arrives_late").groupBy("rider_id")
+             .agg(F.min_by("loyalty_tier", F.struct("changed_at", "change_seq")).alias("loyalty_tier")))
+    return facts.fill_inferred(members, first, "rider_id", ["loyalty_tier"])
+
+
+query("fill_inferred", "staging_raw_trips", "rider_changes", sql="""
+with missing as (select distinct rider_id from staging_raw_trips
+                 where rider_id not in (select rider_id from rider_changes where arrives_late)),
+last as (select coalesce(max(rider_id), 0) as n from rider_changes where arrives_late),
+first as (select rider_id, loyalty_tier, row_number() over (partition by rider_id order by changed_at, change_seq) as rn
+          from rider_changes where not arrives_late)
+select m.rider_id, cast((select n from last) + row_number() over (
+         order by substr(md5(cast(m.rider_id as varchar)), 1, 3), m.rider_id) as bigint) as rider_sk,
+       true as is_current, f.rider_id is null as is_inferred, f.loyalty_tier
+from missing m left join first f on f.rider_id = m.rider_id and f.rn = 1""")(filled_members)
+
 query("incremental_load", "staging_raw_trips", sql="""
 select * from staging_raw_trips
 where trip_id not in (select trip_id from staging_raw_trips where processed)""")(

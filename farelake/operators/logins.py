@@ -16,7 +16,8 @@ known all hours are folded at the same time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ def outcome_frame(ids, users, times, results, counters, locks) -> pd.DataFrame:
         "failed_login_attempts": np.asarray(counters, dtype="int32"), "locked_until": to_times(locks)})
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(batches: Iterator[pd.DataFrame], carry: Sequence[str] = ()) -> Iterator[pd.DataFrame]:
     """Fold rows sorted by (user, slice, time); only the running state is held."""
     group, counter, lock = None, 0, NO_LOCK
     for pdf in batches:
@@ -78,7 +79,8 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             results.append(result)
             counters.append(counter)
             locks.append(lock)
-        yield outcome_frame(pdf["attempt_id"], pdf["user_sk"], pdf["attempt_ts"], results, counters, locks)
+        out = outcome_frame(pdf["attempt_id"], pdf["user_sk"], pdf["attempt_ts"], results, counters, locks)
+        yield out.assign(**{c: pdf[c] for c in carry})
 
 
 # --- hot users: start-to-end tables per time slice -------------------------------------------
@@ -208,14 +210,16 @@ def _with_state(rows: DataFrame, state: DataFrame | None) -> DataFrame:
             .drop("_c", "_l"))
 
 
-def login_outcomes(attempts: DataFrame, state: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def login_outcomes(attempts: DataFrame, state: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+                   carry: Sequence[str] = ()) -> DataFrame:
     """Outcome of each attempt (attempt_id, user_sk, attempt_ts, password_ok).
 
-    ``state`` holds counters and locks from an earlier run (``login_state``).
-    Finding the hot users is one small job that counts attempts per user.
+    ``state`` holds counters and locks from an earlier run (``login_state``);
+    the columns in ``carry`` are kept. Finding the hot users is one small job
+    that counts attempts per user.
     """
-    rows = attempts.select("attempt_id", "user_sk", "attempt_ts", F.coalesce("password_ok", F.lit(False))
-                           .alias("password_ok"))
+    rows = attempts.select("attempt_id", "user_sk", "attempt_ts",
+                           F.coalesce("password_ok", F.lit(False)).alias("password_ok"), *carry)
     hot_users = (rows.groupBy("user_sk").agg(F.count(F.lit(1)).alias("_n"), F.min("attempt_ts").alias("_first"))
                  .where(F.col("_n") > hot_rows).select("user_sk", "_first"))
     whole = F.lit(None).cast("timestamp_ntz").alias("_slice")
@@ -226,11 +230,44 @@ def login_outcomes(attempts: DataFrame, state: DataFrame | None = None, hot_rows
         hours = (F.col("attempt_ts") - F.col("_first")).cast("interval hour").cast("int")
         hot = (rows.join(hot_users, "user_sk")
                .withColumn("_slice", F.col("_first") + F.make_dt_interval(hours=hours)).drop("_first"))
-        starts = _hot_slice_starts(hot, state)
+        starts = _hot_slice_starts(hot.select("attempt_id", "user_sk", "attempt_ts", "password_ok", "_slice"), state)
         prepared = cold.unionByName(hot.join(starts, ["user_sk", "_slice"]))
     return (prepared.repartition("user_sk", "_slice")
             .sortWithinPartitions("user_sk", "_slice", "attempt_ts", "attempt_id")
-            .mapInPandas(_replay, OUTCOME_SCHEMA))
+            .mapInPandas(partial(_replay, carry=tuple(carry)), _with_types(OUTCOME_SCHEMA, rows, carry)))
+
+
+def _with_types(schema: str, rows: DataFrame, carry: Sequence[str]) -> str:
+    return ", ".join([schema, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)])
+
+
+def login_audit_rows(outcomes: DataFrame) -> DataFrame:
+    """The audit log rows of evaluated and refused attempts (carry ip_address and user_agent)."""
+    # Descriptions by outcome.
+    description = (F.when(F.col("result") == 1, "User authenticated").when(F.col("result") == 0, "Invalid password")
+                   .otherwise("Account locked"))
+    return outcomes.select("user_sk", "event_type", description.alias("event_description"), "success",
+                           "ip_address", "user_agent", F.col("attempt_ts").alias("event_timestamp"))
+
+
+def users_after_logins(users: DataFrame, state: DataFrame) -> DataFrame:
+    """The user table as a new snapshot with the counters, locks and times of a run.
+
+    A user without attempts keeps its row; a value the run did not set is kept.
+    """
+    columns = ("failed_login_attempts", "last_failed_login", "account_locked_until", "last_login_at")
+    new = state.select("user_sk", F.lit(True).alias("_seen"), *[F.col(c).alias(f"_{c}") for c in columns],
+                       F.col("last_failed_login").isNotNull().alias("_failed"))
+    rows = users.join(new, "user_sk", "left")
+    value = {
+        "failed_login_attempts": F.coalesce("_failed_login_attempts", "failed_login_attempts"),
+        "last_failed_login": F.coalesce("_last_failed_login", "last_failed_login"),
+        # A failure sets the lock or clears it; without one the lock stays.
+        "account_locked_until": F.when(F.col("_failed"), F.col("_account_locked_until"))
+        .otherwise(F.col("account_locked_until")),
+        "last_login_at": F.coalesce("_last_login_at", "last_login_at"),
+    }
+    return rows.select([value[c].alias(c) if c in value else F.col(c) for c in users.columns])
 
 
 def login_state(outcomes: DataFrame) -> DataFrame:

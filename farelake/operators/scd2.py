@@ -10,7 +10,8 @@ from farelake.functions.scalars import OPEN_END
 from farelake.operators.joins import join_spreading_nulls
 from farelake.operators.keys import highest, number_rows
 from farelake.operators.latest import latest_per_key
-from farelake.operators.neighbours import add_chunk, with_neighbour
+from farelake.operators.neighbours import (
+    HOT_ROWS, add_chunk, has_hot_key, with_neighbour, with_neighbour_chunked)
 
 START, END, CURRENT = "effective_start_date", "effective_end_date", "is_current"
 
@@ -20,24 +21,22 @@ def open_end() -> Column:
 
 
 def build_versions(changes: DataFrame, key: str, changed_at: str, sequence: Sequence[str],
-                   tracked: Sequence[str], chunk: str = "month") -> DataFrame:
+                   tracked: Sequence[str], chunk: str = "day", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions from a feed of attribute values.
 
     Values with the same key and time are reduced to the last by ``sequence``.
     A new version starts when a tracked attribute differs from the value
-    before it, NULL included. The last version's end is open.
+    before it, NULL included. The last version's end is open. If some key has
+    more than ``hot_rows`` changes, keys are worked off in time chunks.
     """
     feed = changes.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked)
-    one_per_time = latest_per_key(feed, [key, START], sequence).select(key, START, *tracked)
-    return _close_versions(one_per_time, key, tracked, chunk)
-
-
-def _close_versions(one_per_time: DataFrame, key: str, tracked: Sequence[str], chunk: str) -> DataFrame:
-    rows = add_chunk(one_per_time, START, chunk)
-    before = with_neighbour(rows, key, START, tracked, "previous", "_before")
+    rows = latest_per_key(feed, [key, START], sequence).select(key, START, *tracked)
+    neighbour = with_neighbour
+    if has_hot_key(feed, key, hot_rows):
+        neighbour, rows = with_neighbour_chunked, add_chunk(rows, START, chunk)
+    before = neighbour(rows, key, START, tracked, "previous", "_before")
     changed = F.col("_before").isNull() | ~F.struct(*tracked).eqNullSafe(F.col("_before"))
-    starts = before.where(changed).drop("_before")
-    after = with_neighbour(starts, key, START, [START], "next", "_after")
+    after = neighbour(before.where(changed).drop("_before"), key, START, [START], "next", "_after")
     return after.select(
         key, *tracked, START,
         F.coalesce(F.col(f"_after.{START}"), open_end()).alias(END),
@@ -47,7 +46,7 @@ def _close_versions(one_per_time: DataFrame, key: str, tracked: Sequence[str], c
 
 def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key: str, surrogate: str,
                    changed_at: str, sequence: Sequence[str], tracked: Sequence[str],
-                   chunk: str = "month") -> DataFrame:
+                   chunk: str = "day", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bring a versioned dimension up to date after new or late changes.
 
     ``log`` is the whole change log, ``touched`` the keys with new entries.
@@ -58,7 +57,8 @@ def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key
     keys = touched.select(key).distinct()
     columns = [surrogate, key, *tracked, START, END, CURRENT]
     untouched = dimension.select(columns).join(keys, key, "left_anti")
-    rebuilt = build_versions(log.join(keys, key, "left_semi"), key, changed_at, sequence, tracked, chunk)
+    rebuilt = build_versions(log.join(keys, key, "left_semi"), key, changed_at, sequence, tracked,
+                             chunk, hot_rows)
     known = dimension.select(key, START, surrogate)
     fresh = with_version_id(rebuilt.join(known.drop(surrogate), [key, START], "left_anti"), key)
     numbered = number_rows(fresh, VERSION, surrogate, highest(dimension, surrogate))

@@ -11,7 +11,7 @@ from farelake.operators import masking, policies, quality, retention
 from farelake.operators.joins import join_spreading_nulls
 from farelake.operators.keys import assign_surrogate_keys
 from farelake.operators.latest import latest_per_key
-from farelake.operators.neighbours import add_chunk, with_neighbour
+from farelake.operators.neighbours import add_chunk, has_hot_key, with_neighbour, with_neighbour_chunked
 from farelake.operators.scd2 import build_versions, join_version, merge_versions, with_version_keys
 from farelake.plans import dimensions, facts
 
@@ -48,10 +48,11 @@ def as_set(df):
     return {tuple(r) for r in df.collect()}
 
 
-@pytest.mark.parametrize("chunk", ["month", "year", "week"])
-def test_versions_of_a_skewed_feed(spark, chunk):
+@pytest.mark.parametrize("chunk, hot_rows", [("month", 100), ("year", 100), ("day", 100), ("day", 10_000)])
+def test_versions_of_a_skewed_feed(spark, chunk, hot_rows):
     rows, df = feed(spark)
-    got = build_versions(df, "id", "at", ["seq"], ["tier"], chunk)
+    assert has_hot_key(df, "id", hot_rows) == (hot_rows == 100)
+    got = build_versions(df, "id", "at", ["seq"], ["tier"], chunk, hot_rows)
     assert as_set(got) == versions_of(rows)
     assert got.where("is_current").groupBy("id").count().where("count <> 1").count() == 0
 
@@ -59,7 +60,7 @@ def test_versions_of_a_skewed_feed(spark, chunk):
 def test_late_changes_split_versions_and_keep_keys(spark):
     rows, df = feed(spark, seed=2)
     first = with_version_keys(build_versions(df.where("not late"), "id", "at", ["seq"], ["tier"]), "id", "sk").cache()
-    merged = merge_versions(first, df, df.where("late"), "id", "sk", "at", ["seq"], ["tier"]).cache()
+    merged = merge_versions(first, df, df.where("late"), "id", "sk", "at", ["seq"], ["tier"], hot_rows=100).cache()
     assert as_set(merged.drop("sk")) == versions_of(rows)
     assert merged.select("sk").distinct().count() == merged.count()
     old = {(r.id, r.effective_start_date): r.sk for r in first.collect()}
@@ -91,8 +92,9 @@ def test_neighbour_equals_plain_window(spark, side):
     df = df.groupBy("id", "at").agg(F.max("seq").alias("seq"))
     w = Window.partitionBy("id").orderBy("at")
     plain = df.select("id", "at", (F.lag("seq") if side == "previous" else F.lead("seq")).over(w).alias("n"))
-    ours = with_neighbour(add_chunk(df, "at", "month"), "id", "at", ["seq"], side, "n").select("id", "at", "n.seq")
-    assert as_set(ours) == as_set(plain)
+    ours = with_neighbour_chunked(add_chunk(df, "at", "month"), "id", "at", ["seq"], side, "n")
+    assert as_set(ours.select("id", "at", "n.seq")) == as_set(plain)
+    assert as_set(with_neighbour(df, "id", "at", ["seq"], side, "n").select("id", "at", "n.seq")) == as_set(plain)
 
 
 def test_latest_row_per_key(spark):

@@ -11,7 +11,7 @@ from farelake.sources import tables
 from farelake.sources.samples import SampleWarehouse
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"login_outcomes", "login_state", "stream_login_outcomes"}
+PYTHON_ALLOWED = {"login_outcomes", "login_state", "login_audit_rows", "users_after_logins"}
 RUNS_A_STREAM = {n for n in registry.QUERIES if n.startswith("stream_")}
 
 
