@@ -63,7 +63,7 @@ def v_security_audit_summary(wh: Tables, as_of=None) -> DataFrame:
     account reaches the shuffle as one row per task and event type.
     """
     per_user = (
-        since(wh["security_audit_log"], "event_timestamp", days_before(as_of, AUDIT_DAYS), "event_date")
+        since(wh["security_audit_log"], "event_timestamp", days_before(as_of, AUDIT_DAYS), "event")
         .where(F.col("user_sk").isNotNull())
         .groupBy("user_sk", "event_type")
         .agg(F.count(F.lit(1)).alias("event_count"),

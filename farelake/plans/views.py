@@ -21,11 +21,12 @@ HIGH_EARNINGS = 5000
 TOP_DRIVERS = 100
 
 
-def since(df: DataFrame, column: str, cutoff: Column, partition: str | None = None) -> DataFrame:
-    """Rows from ``cutoff`` on. If the table is stored by ``partition``, its older folders are not read."""
+def since(df: DataFrame, column: str, cutoff: Column, stem: str) -> DataFrame:
+    """Rows from ``cutoff`` on. If the table is stored by day or month, older folders are not read."""
     rows = df.where(F.col(column) >= cutoff)
-    if partition and partition in df.columns:
-        rows = rows.where(F.col(partition) >= F.to_date(cutoff))
+    for grain in ("day", "month"):
+        if f"{stem}_{grain}" in df.columns:
+            rows = rows.where(F.col(f"{stem}_{grain}") >= F.to_date(F.date_trunc(grain, cutoff)))
     return rows
 
 
@@ -102,7 +103,7 @@ def v_top_drivers(wh: Tables, as_of=None) -> DataFrame:
     drivers = (wh["dim_drivers"].where("is_current")
                .select("driver_sk", full_name("first_name", "last_name").alias("driver_name"),
                        "city_code", "driver_rating", F.col("total_trips").alias("lifetime_trips")))
-    days = (since(wh["fact_driver_daily"], "activity_date", months_before(as_of, 1))
+    days = (since(wh["fact_driver_daily"], "activity_date", months_before(as_of, 1), "activity")
             .select("driver_sk", "activity_date", "average_rating", "gross_earnings", "acceptance_rate"))
     return (
         days.join(drivers, "driver_sk")
@@ -119,7 +120,7 @@ def v_top_drivers(wh: Tables, as_of=None) -> DataFrame:
 def v_city_performance(wh: Tables, as_of=None) -> DataFrame:
     """Last month's trips by pickup city. Unrated trips count as not satisfied."""
     return (
-        since(wh["fact_trips"], "pickup_timestamp", months_before(as_of, 1), "pickup_date")
+        since(wh["fact_trips"], "pickup_timestamp", months_before(as_of, 1), "pickup")
         .join(pickup_city(wh), "pickup_location_sk")
         .groupBy("city")
         .agg(F.count_distinct("trip_id").alias("total_trips"),

@@ -2,48 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farelake.functions.scalars import clock
 from farelake.schemas import DEFAULTS, schema_of
 
-# Tables with a date the bulk of queries filter on: table -> (partition column, its source).
+# Tables stored in one folder per day or month of a date the bulk of queries filter on:
+# table -> (stem of the partition column, its source). A day suits facts of many GB a day.
 PARTITIONED = {
-    "fact_trips": ("pickup_date", "pickup_timestamp"),
-    "fact_payments": ("payment_date", "payment_timestamp"),
-    "fact_driver_daily": ("activity_month", "activity_date"),
-    "staging_raw_trips": ("ingestion_day", "ingestion_timestamp"),
-    "security_audit_log": ("event_date", "event_timestamp"),
+    "fact_trips": ("pickup", "pickup_timestamp"),
+    "fact_payments": ("payment", "payment_timestamp"),
+    "fact_driver_daily": ("activity", "activity_date"),
+    "staging_raw_trips": ("ingestion", "ingestion_timestamp"),
+    "security_audit_log": ("event", "event_timestamp"),
 }
+GRAINS = ("day", "month")
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+def partition_column(table: str, grain: str) -> str:
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be one of {GRAINS}, not {grain!r}")
+    return f"{PARTITIONED[table][0]}_{grain}"
+
+
+def read_table(spark: SparkSession, root: str, table: str, grain: str = "day") -> DataFrame:
     """A table below ``root`` with its explicit schema (plus its partition column)."""
     schema = schema_of(table)
     if table in PARTITIONED:
-        schema = schema.add(PARTITIONED[table][0], "date")
+        schema = schema.add(partition_column(table, grain), "date")
     return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 
-def with_partition_column(df: DataFrame, table: str) -> DataFrame:
-    column, source = PARTITIONED[table]
-    value: Column = F.to_date(source)
-    if column.endswith("_month"):
-        value = F.trunc(value, "month")
-    return df.withColumn(column, value)
+def with_partition_column(df: DataFrame, table: str, grain: str = "day") -> DataFrame:
+    return df.withColumn(partition_column(table, grain), F.to_date(F.date_trunc(grain, PARTITIONED[table][1])))
 
 
-def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:
-    """Write a table; facts go into one folder per date.
+def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite", grain: str = "day") -> None:
+    """Write a table; facts go into one folder per day or month.
 
     The rebalance hint lets Spark cut a heavy date into several files of even
-    size and put light dates together, so no date is one task.
+    size and put light dates together, so no date is one task. Overwriting
+    replaces only the folders the rows fall into.
     """
     if table not in PARTITIONED:
         df.write.mode(mode).parquet(f"{root}/{table}")
         return
-    column = PARTITIONED[table][0]
-    rows = with_partition_column(df, table).hint("rebalance", column)
+    column = partition_column(table, grain)
+    rows = with_partition_column(df, table, grain).hint("rebalance", column)
     rows.write.mode(mode).partitionBy(column).parquet(f"{root}/{table}")
 
 
