@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,18 +59,22 @@ def build_session(app_name: str = "farelake", master: str | None = None,
     return configure(builder.getOrCreate())
 
 
+# The scratch folders of bare local sessions, by application.
+_local_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a bare local session) is a local
-    temporary folder used.
+    Only where the cluster names none (a bare local session, all in one
+    process) is a local temporary folder used, one for each application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="farelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="farelake-"))
     return f"{root.rstrip('/')}/farelake/{purpose}-{uuid.uuid4().hex}"
 
 
