@@ -44,7 +44,9 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     hashed = rows.select(F.xxhash64("digest").alias("probe"),
                          (F.spark_partition_id() % SKETCH_GROUPS).alias("part"))
     parts = hashed.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(probe, {COUNTERS})").alias("sketch"))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # Grouped, since an ungrouped merge meets empty partitions, which this function does not take.
+    merged = parts.groupBy((F.col("part") * 0).alias("all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {HOT_SHARE})")).alias("found"))
     return found.select(F.col("found.item").alias("probe"))
 
