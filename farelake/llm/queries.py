@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from farelake.llm import exact_dedup, mixing, sharding
+from farelake.llm import exact_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op7_shards": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
