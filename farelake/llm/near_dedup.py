@@ -1,10 +1,11 @@
 """Near-duplicate documents: Jaccard join of word shingles by part-enumeration signatures.
 
 1. Each document becomes its set of shingle hashes; equal sets share a set key.
-   Signatures (``partenum``) are made once for each set key and task.
-2. Signatures are shuffled; those of one set only are dropped. Signatures that
-   a frequent-items sketch finds hot are shared for certain and skip that
-   shuffle.
+   The same pass counts frequent signatures, with a fixed number of counters a
+   task.
+2. Signatures (``partenum``) are made once for each set key and task and
+   shuffled; those of one set only are dropped. Signatures found frequent are
+   shared for certain: their rows are dealt out by set.
 3. Star step: in each bucket of a signature, every set is compared with one
    pivot, the set met most often in shared buckets. Verified pairs are links.
 4. Rest: in buckets whose sets are not all in one component by now, the sets
@@ -55,28 +56,56 @@ def _set_key(members: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).view(np.int64))
 
 
-def _sign_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _key_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Set size and key of each document; then the task's frequent signatures, in rows without a text key."""
     seen: set[int] = set()
+    frequent: dict[int, int] = {}
+    names = ["doc_id", "text_key", "n_shingles", "set_key", "sign", "met"]
     for batch in batches:
-        keys, counts, lists, lengths = [], [], [], []
-        texts = batch.column("text")
-        for _, members in document_sets(texts, size):
+        keys, counts, signs = [], [], []
+        for _, members in document_sets(batch.column("text"), size):
             key = _set_key(members) if len(members) else None
             keys.append(key)
             counts.append(len(members))
-            signs = members[:0]
             if key is not None and key not in seen:
                 if len(seen) < REMEMBERED_SETS:
                     seen.add(key)
-                signs = signatures(members, percent)
-            lists.append(signs)
-            lengths.append(len(signs))
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        values = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+                signs.append(signatures(members, percent))
+        if signs:
+            sign, met = np.unique(np.concatenate(signs), return_counts=True)
+            for x, c in zip(sign[met > 1].view(np.int64).tolist(), met[met > 1].tolist()):
+                frequent[x] = frequent.get(x, 0) + c
+            if len(frequent) > 20 * HOT_SIGNATURES:  # all counters go down by the same, as in Misra-Gries
+                less = sorted(frequent.values())[-10 * HOT_SIGNATURES]
+                frequent = {x: c - less for x, c in frequent.items() if c > less}
+        n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-            ["doc_id", "text_key", "n_shingles", "set_key", "signs"])
+             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+    top = sorted(frequent.items(), key=lambda x: -x[1])[:HOT_SIGNATURES]
+    n = len(top)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+         pa.array([x for x, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names)
+
+
+def _sign_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(sign, set_key) of the sets that the task meets, once each."""
+    seen: set[int] = set()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            keys, lists = [], []
+            for _, members in document_sets(batch.column("text").slice(start, 500), size):
+                key = _set_key(members) if len(members) else None
+                if key is not None and key not in seen:
+                    if len(seen) < REMEMBERED_SETS:
+                        seen.add(key)
+                    keys.append(key)
+                    lists.append(signatures(members, percent))
+            if keys:
+                key = np.repeat(np.array(keys, np.int64), [len(x) for x in lists])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(lists).view(np.int64)), pa.array(key)], ["sign", "set_key"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -100,9 +129,9 @@ def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sign, set_key): distinct rows of signatures that two sets or more have.
+    """Of rows (sign, set_key, hot) sorted so: distinct rows of signatures that are hot or that two sets or more have.
 
-    The last signature of a batch waits for the next batch.
+    The last signature of a batch waits for the next batch; it is not hot, so its sets are few.
     """
     wait_s, wait_k = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -117,8 +146,12 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(sign[keep]), pa.array(key[keep])], ["sign", "set_key"])
 
     for batch in batches:
-        sign = np.concatenate([wait_s, batch.column(0).to_numpy(zero_copy_only=False)])
-        key = np.concatenate([wait_k, batch.column(1).to_numpy(zero_copy_only=False)])
+        sign, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        hot = batch.column(2).to_numpy(zero_copy_only=False)
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sign[hot]), pa.array(key[hot])], ["sign", "set_key"])
+            sign, key = sign[~hot], key[~hot]
+        sign, key = np.concatenate([wait_s, sign]), np.concatenate([wait_k, key])
         if not len(sign):
             continue
         cut = int(np.searchsorted(sign, sign[-1]))
@@ -182,42 +215,39 @@ def _compare_block(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
-def signed_documents(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Stored rows (doc_id, text_key, n_shingles, set_key, signs)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return durable(rows.mapInArrow(
-        partial(_sign_batches, size=size, percent=percent),
-        "doc_id long, text_key binary, n_shingles long, set_key long, signs array<long>"), "signed")
 
 
-def shared_signatures(signed: DataFrame) -> DataFrame:
+def shared_signatures(texts: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
     """Stored rows (sign, set_key) of signatures with two sets or more, or hot ones."""
-    spark = signed.sparkSession
-    rows = signed.select(F.explode("signs").alias("sign"), "set_key")
-    parts = rows.groupBy((F.spark_partition_id() % 64).alias("part")).agg(
-        F.expr("approx_top_k_accumulate(sign, 8192)").alias("sketch"))
-    found = (parts.groupBy((F.col("part") * 0).alias("all"))
-             .agg(F.expr("approx_top_k_combine(sketch, 8192)").alias("sketch"))
-             .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {HOT_SIGNATURES})")).alias("f")))
-    sets = signed.count()
+    spark = texts.sparkSession
+    documents = keyed.where("text_key is not null").count()
     # At most HOT_SIGNATURES numbers. A signature of a thousandth of the documents is hot.
-    hot = [r[0] for r in found.where(F.col("f.count") * HOT_SIGNATURES >= sets + HOT_SIGNATURES)
-           .select("f.item").collect()]
+    met = F.sum("met")
+    hot = [r[0] for r in keyed.where("sign is not null").groupBy("sign").agg(met.alias("met"))
+           .where(F.col("met") * HOT_SIGNATURES >= documents + 20 * HOT_SIGNATURES)
+           .orderBy(F.desc("met"), "sign").limit(HOT_SIGNATURES).select("sign").collect()]
     is_hot = F.col("sign").isin(hot) if hot else F.lit(False)
-    parts_wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.where(~is_hot).repartition(parts_wanted, "sign").sortWithinPartitions("sign", "set_key")
-    shared = sorted_rows.mapInArrow(_shared_batches, "sign long, set_key long")
-    if hot:
-        shared = shared.unionByName(rows.where(is_hot).distinct())
-    return durable(shared, "shared-signs")
+    rows = texts.select("text").mapInArrow(partial(_sign_batches, size=size, percent=percent), "sign long, set_key long")
+    # A hot signature is shared for certain: its rows are dealt by set, and pass.
+    dealt = rows.withColumn("turn", F.when(is_hot, F.xxhash64("set_key")).otherwise(F.col("sign"))).withColumn("hot", is_hot)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = dealt.repartition(parts, "turn").drop("turn").sortWithinPartitions("sign", "set_key").mapInArrow(
+        _shared_batches, "sign long, set_key long")
+    return durable(shared.distinct() if hot else shared, "shared-signs")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
                 percent: int = PERCENT) -> DataFrame:
     """Per document (doc_id, text_key, n_shingles, set_key, component_id)."""
-    signed = signed_documents(docs, id_col, text_col, size, percent)
-    shared = shared_signatures(signed)
+    texts = _texts(docs, id_col, text_col)
+    keyed = durable(texts.mapInArrow(
+        partial(_key_batches, size=size, percent=percent),
+        "doc_id long, text_key binary, n_shingles long, set_key long, sign long, met long"), "set-keys")
+    shared = shared_signatures(texts, keyed, size, percent)
+    signed = keyed.where("text_key is not null").drop("sign", "met")
     sets = _sets_of(docs, signed, shared, text_col, size)
 
     # Star step.
@@ -251,7 +281,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("component", F.coalesce("component", "set_key")))
     least = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
     named = by_set.join(least, "component").select("set_key", "component", "component_id")
-    return (signed.drop("signs").join(named, "set_key", "left")
+    return (signed.join(named, "set_key", "left")
             .withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))))
 
 
