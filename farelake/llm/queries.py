@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from farelake.llm import exact_dedup, mixing, near_dedup, sharding
+from farelake.llm import decontaminate, exact_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op7_shards": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_near_dedup": near_dedup.query,
 }
 

@@ -21,6 +21,11 @@ _CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _CODES[65:91] = _CODES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Separators when words are runs of ASCII letters and digits and of all other characters beyond ASCII.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+for _low, _high in ((48, 58), (65, 91), (97, 123)):
+    PUNCTUATION[_low:_high] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -68,12 +73,12 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a piece, A-Z lower-cased, and each document's range of them (n + 1 bounds)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~separators[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = offsets[:-1][np.diff(offsets) > 0]
