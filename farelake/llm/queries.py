@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from farelake.llm import decontaminate, exact_dedup, mixing, near_dedup, sharding
+from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, sharding, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op3_toxicity": toxicity.query,
+    "op6_licences": licences.query,
     "op7_shards": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
