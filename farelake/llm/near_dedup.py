@@ -7,11 +7,13 @@
    shuffled; those of one set only are dropped. Signatures found frequent are
    shared for certain: their rows are dealt out by set.
 3. Star step: in each bucket of a signature, every set is compared with one
-   pivot, the set met most often in shared buckets. Verified pairs are links.
+   pivot, the set met most often in shared buckets. A sketch of counts bounds the
+   difference from below and drops most pairs; the others are verified on
+   the sets themselves. Verified pairs are links.
 4. Rest: in buckets whose sets are not all in one component by now, the sets
-   outside the largest component are compared with all others, in blocks of
-   bounded size. Buckets of one pivot are taken together, so a pair is compared
-   about once. Only links leave the tasks.
+   outside the largest component are compared with all others by their sketches,
+   in blocks of bounded size; what may be similar is verified. Buckets of one
+   pivot are taken together, so a pair is compared about once.
 5. Components of all links, and of all documents with equal sets.
 
 Sets linked already are not compared again; no pair that shares a signature in
@@ -44,8 +46,8 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 # Set keys that one task remembers, to sign equal sets once.
 REMEMBERED_SETS = 1_000_000
-# Hashes in one block of sets, about 3 MB.
-BLOCK_HASHES = 400_000
+# Members of the sets in one block, about as many bytes of sketches.
+BLOCK_MEMBERS = 400_000
 HOT_SIGNATURES = 1000
 
 
@@ -56,20 +58,56 @@ def _set_key(members: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).view(np.int64))
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall into each of 2 ** k equal ranges, k so that there are about as many ranges as members.
+
+    Two sets differ in at least as many members as the counts differ in sum; sketches of different length are
+    compared after adding up neighbouring ranges of the longer.
+    """
+    bits = max(4, int(len(members) - 1).bit_length())
+    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _folded(counts: np.ndarray, length: int) -> np.ndarray:
+    return counts.reshape(length, -1).sum(1, dtype=np.int32) if len(counts) > length else counts.astype(np.int32)
+
+
+def _may_link(n_a, n_b, differ, percent: int):
+    """False where sets of these sizes that differ in at least so many members can't be similar."""
+    return ((100 + percent) * differ <= (100 - percent) * (n_a + n_b)) & (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+
+
+def _likely_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, n_a, n_b, x, y) with sketches x and y those that may be similar."""
+    for batch in batches:
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        differ = np.zeros(batch.num_rows, np.int64)
+        xs, ys = batch.column("x"), batch.column("y")
+        for i in range(batch.num_rows):
+            x, y = np.frombuffer(xs[i].as_buffer(), np.uint8), np.frombuffer(ys[i].as_buffer(), np.uint8)
+            length = min(len(x), len(y))
+            differ[i] = np.abs(_folded(x, length) - _folded(y, length)).sum()
+        keep = pa.array(_may_link(n_a, n_b, differ, percent))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+
 def _key_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Set size and key of each document; then the task's frequent signatures, in rows without a text key."""
     seen: set[int] = set()
     frequent: dict[int, int] = {}
-    names = ["doc_id", "text_key", "n_shingles", "set_key", "sign", "met"]
+    names = ["doc_id", "text_key", "n_shingles", "set_key", "sketch", "sign", "met"]
     for batch in batches:
-        keys, counts, signs = [], [], []
+        keys, counts, signs, sketches = [], [], [], []
         for _, members in document_sets(batch.column("text"), size):
             key = _set_key(members) if len(members) else None
             keys.append(key)
             counts.append(len(members))
+            sketches.append(None)
             if key is not None and key not in seen:
                 if len(seen) < REMEMBERED_SETS:
                     seen.add(key)
+                sketches[-1] = sketch(members).tobytes()
                 signs.append(signatures(members, percent))
         if signs:
             sign, met = np.unique(np.concatenate(signs), return_counts=True)
@@ -81,12 +119,12 @@ def _key_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()),
-             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+             pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
     top = sorted(frequent.items(), key=lambda x: -x[1])[:HOT_SIGNATURES]
     n = len(top)
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-         pa.array([x for x, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names)
+         pa.nulls(n, pa.binary()), pa.array([x for x, _ in top], pa.int64()), pa.array([c for _, c in top], pa.int64())], names)
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,54 +203,27 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield shared(wait_s, wait_k)
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return [values[offsets[i]:offsets[i + 1]] for i in range(len(column))]
-
-
 def _compare_block(group: pa.Table, percent: int) -> pa.Table:
-    """Links between the sets of side 0 and those of side 1 that are in different components.
-
-    Intersection sizes are a product of incidence matrices over the members that both sides have.
-    """
+    """Pairs of a set of side 0 and one of side 1 that are in different components and may be similar by their sketches."""
     side = group.column("side").to_numpy()
-    key, comp = group.column("set_key").to_numpy(), group.column("component").to_numpy()
-    sets = _lists(group.column("members"))
+    key, comp, n = (group.column(c).to_numpy() for c in ("set_key", "component", "n"))
+    counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sketch").combine_chunks()]
+    length = min(map(len, counts))
+    flat = np.stack([_folded(x, length) for x in counts])
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found_a, found_b = [], []
-    if len(left) and len(right):
-        flat_l, flat_r = np.concatenate([sets[i] for i in left]), np.concatenate([sets[i] for i in right])
-        both = np.intersect1d(flat_l, flat_r)
-        n_l, n_r = np.array([len(sets[i]) for i in left]), np.array([len(sets[i]) for i in right])
-        inter = np.zeros((len(left), len(right)), np.float32)
-        row_l, row_r = np.repeat(np.arange(len(left)), n_l), np.repeat(np.arange(len(right)), n_r)
-
-        def places(flat, rows):
-            at = np.searchsorted(both, flat)
-            at[at == len(both)] = 0
-            hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
-            order = np.argsort(at[hit], kind="stable")
-            return at[hit][order], rows[hit][order]
-
-        at_l, rl = places(flat_l, row_l)
-        at_r, rr = places(flat_r, row_r)
-        step = 2048
-        for lo in range(0, len(both), step):
-            cl = slice(*np.searchsorted(at_l, [lo, lo + step]))
-            cr = slice(*np.searchsorted(at_r, [lo, lo + step]))
-            x = np.zeros((len(left), step), np.float32)
-            y = np.zeros((step, len(right)), np.float32)
-            x[rl[cl], at_l[cl] - lo] = 1
-            y[at_r[cr] - lo, rr[cr]] = 1
-            inter += x @ y
-        inter = inter.astype(np.int64)
-        linked = 100 * inter >= percent * (n_l[:, None] + n_r[None, :] - inter)
-        linked &= comp[left][:, None] != comp[right][None, :]
-        i, j = np.nonzero(linked)
-        found_a, found_b = key[left][i], key[right][j]
-    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    others = flat[right].astype(np.int16) if flat.max(initial=0) < 30_000 else flat[right]
+    for i in left:
+        apart = comp[right] != comp[i]
+        apart &= (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])
+        at = np.flatnonzero(apart)
+        if len(at):
+            differ = np.abs(others[at] - flat[i].astype(others.dtype)).sum(1, dtype=np.int64)
+            hit = right[at[_may_link(n[i], n[right[at]], differ, percent)]]
+            found_a.append(np.full(len(hit), key[i]))
+            found_b.append(key[hit])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,10 +256,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = _texts(docs, id_col, text_col)
     keyed = durable(texts.mapInArrow(
         partial(_key_batches, size=size, percent=percent),
-        "doc_id long, text_key binary, n_shingles long, set_key long, sign long, met long"), "set-keys")
+        "doc_id long, text_key binary, n_shingles long, set_key long, sketch binary, sign long, met long"), "set-keys")
     shared = shared_signatures(texts, keyed, size, percent)
-    signed = keyed.where("text_key is not null").drop("sign", "met")
-    sets = _sets_of(docs, signed, shared, text_col, size)
+    signed = keyed.where("text_key is not null").drop("sign", "met", "sketch")
+    sketches = (keyed.where("sketch is not null").select("set_key", F.col("n_shingles").alias("n"), "sketch")
+                .join(shared.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]))
+    sketches = durable(sketches, "sketches")
 
     # Star step.
     buckets = shared.groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
@@ -257,23 +270,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max(F.struct("weight", "set_key")).getField("set_key").alias("pivot")), "pivots")
     pairs = (shared.join(pivots, "sign").where(F.col("set_key") != F.col("pivot"))
              .select(F.col("set_key").alias("a"), F.col("pivot").alias("b")).distinct())
-    left, right = sets.select(F.col("set_key").alias("a"), F.col("members").alias("x")), sets.select(
-        F.col("set_key").alias("b"), F.col("members").alias("y"))
-    inter = F.size(F.array_intersect("x", "y"))
-    near = (pairs.join(left, "a").join(right, "b")
-            .where(F.size("x") * 100 >= F.size("y") * percent).where(F.size("y") * 100 >= F.size("x") * percent)
-            .withColumn("i", inter).where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent))
-    links = durable(near.select("a", "b"), "star-links")
+    left = sketches.select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(
+        partial(_likely_batches, percent=percent), "a long, b long")
+    links = _verified(likely, docs, signed, text_col, size, percent)
 
     # What the stars leave open.
     stars = components(links)
-    placed = (shared.join(stars.withColumnRenamed("node", "set_key"), "set_key", "left")
-              .select("sign", "set_key", F.coalesce("component", "set_key").alias("component")))
+    placed = (shared.join(pivots, "sign").where(F.col("set_key") != F.col("pivot"))
+              .join(stars.withColumnRenamed("node", "set_key"), "set_key", "left")
+              .select("sign", "pivot", "set_key", F.coalesce("component", "set_key").alias("component")))
     open_signs = (placed.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where(F.col("lo") != F.col("hi")).select("sign"))
-    open_rows = durable(placed.join(open_signs, "sign").join(pivots, "sign")
-                        .select("pivot", "set_key", "component").distinct(), "open-sets")
-    more = _compare_open(open_rows, sets, percent)
+    open_rows = durable(placed.join(open_signs, "sign").select("pivot", "set_key", "component").distinct(),
+                        "open-sets")
+    more = _verified(_open_pairs(open_rows, sketches, percent), docs, signed, text_col, size, percent)
     comps = components(links.unionByName(more))
 
     by_set = (signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
@@ -285,27 +297,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))))
 
 
-def _sets_of(docs: DataFrame, signed: DataFrame, shared: DataFrame, text_col: str, size: int) -> DataFrame:
-    """Stored rows (set_key, members) of the sets that share a signature; one text of each is read."""
-    wanted = shared.select("set_key").distinct()
-    texts = durable(signed.join(wanted, "set_key").groupBy("set_key").agg(F.min("text_key").alias("text_key"))
-                    .select("text_key").distinct(), "wanted-texts")
+def _verified(pairs: DataFrame, docs: DataFrame, signed: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+    """Stored pairs (a, b) of set keys whose sets are similar; the sets are made anew from one text each."""
+    pairs = durable(pairs.distinct(), "likely-pairs")
+    wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    keys = durable(signed.join(wanted, "set_key").groupBy("set_key").agg(F.min("text_key").alias("text_key"))
+                   .select("text_key").distinct(), "wanted-texts")
     rows = docs.select(text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    members = keep_keys(rows, texts, "text_key").select("text").mapInArrow(
-        partial(_set_batches, size=size), "set_key long, members array<long>")
-    return durable(members.dropDuplicates(["set_key"]), "sets")
-
-
-def _compare_open(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stored links between sets of one pivot's buckets that are in different components."""
-    sized = open_rows.join(sets.select("set_key", F.size("members").alias("n")), "set_key")
+    sets = durable(keep_keys(rows, keys, "text_key").select("text").mapInArrow(
+        partial(_set_batches, size=size), "set_key long, members array<long>").dropDuplicates(["set_key"]), "sets")
+    left = sets.select(F.col("set_key").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("set_key").alias("b"), F.col("members").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return durable(both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b"),
+                   "verified")
+
+
+def _open_pairs(open_rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one pivot's buckets that are in different components and may be similar."""
+    sized = open_rows.join(sketches.select("set_key", "n"), "set_key")
     by_comp = sized.groupBy("pivot", "component").agg(F.sum("n").alias("n"))
     main = by_comp.groupBy("pivot").agg(
         F.max(F.struct("n", "component")).getField("component").alias("main"), F.sum("n").alias("all_n"))
-    sized = sized.join(main, "pivot").withColumn("outside", F.col("component") != F.col("main"))
-    outside_n = sized.where("outside").groupBy("pivot").agg(F.sum("n").alias("out_n"))
-    blocks = lambda n: (F.col(n) / F.lit(BLOCK_HASHES)).cast("int") + 1
-    sized = (sized.join(outside_n, "pivot").withColumn("xs", blocks("out_n")).withColumn("ys", blocks("all_n")))
+    outside_n = sized.join(main, "pivot").where(F.col("component") != F.col("main")).groupBy("pivot").agg(
+        F.sum("n").alias("out_n"))
+    blocks = lambda n: (F.col(n) / F.lit(BLOCK_MEMBERS)).cast("int") + 1
+    plan = main.join(outside_n, "pivot").select("pivot", "main", blocks("out_n").alias("xs"), blocks("all_n").alias("ys"))
+    sized = open_rows.join(plan, "pivot").withColumn("outside", F.col("component") != F.col("main"))
     turn = F.xxhash64("set_key")
     xs = sized.where("outside").select(
         "pivot", "set_key", "component", F.pmod(turn, F.col("xs")).cast("int").alias("xb"),
@@ -313,10 +331,9 @@ def _compare_open(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFr
     ys = sized.select(
         "pivot", "set_key", "component", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"),
         F.pmod(turn, F.col("ys")).cast("int").alias("yb"), F.lit(1).alias("side"))
-    members = xs.unionByName(ys).join(sets, "set_key")
-    found = members.groupBy("pivot", "xb", "yb").applyInArrow(
+    members = xs.unionByName(ys).join(sketches, "set_key")
+    return members.groupBy("pivot", "xb", "yb").applyInArrow(
         lambda group: _compare_block(group, percent), "a long, b long")
-    return durable(found.distinct(), "open-links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
