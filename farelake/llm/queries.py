@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, sharding, toxicity
+from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op3_toxicity": toxicity.query,
+    "op4_url_filter": url_filter.query,
     "op6_licences": licences.query,
     "op7_shards": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
