@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, sharding, toxicity, url_filter
+from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_quality": quality.query,
     "op3_toxicity": toxicity.query,
     "op4_url_filter": url_filter.query,
     "op6_licences": licences.query,
