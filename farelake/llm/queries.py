@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, toxicity, url_filter
+from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_quality": quality.query,
     "op3_toxicity": toxicity.query,
     "op4_url_filter": url_filter.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_licences": licences.query,
     "op7_shards": sharding.query,
     "op8_exact_dedup": exact_dedup.query,
