@@ -26,12 +26,17 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def keep_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` occurs in ``keys`` (a stored table of one row per key).
+def packed(rows: DataFrame) -> Column:
+    """All columns of ``rows`` as one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def keep_keys(rows: DataFrame, keys: DataFrame, key: str, drop: bool = False) -> DataFrame:
+    """Rows whose ``key`` occurs (or does not occur: ``drop``) in ``keys``, a stored table of one row per key.
 
     The keys are counted first: up to ``BROADCAST_KEYS`` are broadcast, so that
     wide rows are filtered where they are read; more are met by a shuffle.
     """
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return rows.join(keys, key, "left_semi")
+    return rows.join(keys, key, "left_anti" if drop else "left_semi")

@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm.common import table, text_key
+from farelake.llm.common import keep_keys, packed, table, text_key
 from farelake.llm.shingles import PUNCTUATION, _PLACE, pieces, scramble, word_hashes
+from farelake.session import durable
 
 SEGMENT = 64
 BLOCK = 4
@@ -257,9 +258,9 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents in which an item was found."""
-    found = leaks(docs, items, id_col, text_col, **options).select(F.col("text_key").alias("_leak")).distinct()
-    marked = docs.withColumn("_text_key", text_key(text_col))
-    return marked.join(found, marked["_text_key"] == found["_leak"], "left_anti").select(*docs.columns)
+    found = durable(leaks(docs, items, id_col, text_col, **options).select("text_key").distinct(), "leaks")
+    keyed = docs.select(packed(docs).alias("row"), text_key(text_col).alias("text_key"))
+    return keep_keys(keyed, found, "text_key", drop=True).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

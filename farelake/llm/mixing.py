@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from farelake.llm.common import WORDS, table
+from farelake.llm.common import WORDS, packed, table
 from farelake.session import durable
 
 WEIGHTS = (3, 1, 2)
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``carry`` names input columns to hand on unchanged (all by default, as one
     column ``row``); with an empty tuple only narrow rows are stored and moved.
     """
-    kept = [F.struct(*docs.columns).alias("row")] if carry is None else [F.struct(*carry).alias("row")] if carry else []
+    kept = [packed(docs).alias("row")] if carry is None else [F.struct(*carry).alias("row")] if carry else []
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.regexp_count(F.col(text_col), F.lit(WORDS)).cast("long").alias("size"),

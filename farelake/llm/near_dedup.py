@@ -34,9 +34,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm.common import keep_keys, table, text_key
+from farelake.llm.common import keep_keys, packed, table, text_key
 from farelake.llm.components import components
 from farelake.llm.partenum import signatures
 from farelake.llm.shingles import document_sets
@@ -341,19 +341,26 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents without shingles all stay. Of rows equal in id and text one stays.
     """
-    groups = near_groups(docs, id_col, text_col, **options)
-    keep = (groups.where("set_key is not null")
-            .groupBy(F.coalesce("component", "set_key").alias("component"))
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
-            .select("best.doc_id", "best.text_key"))
-    marked = docs.withColumn("_key", text_key(text_col))
-    best = keep.select(F.col("doc_id").alias("_best_id"), F.col("text_key").alias("_best_key"))
-    empty = groups.where("set_key is null").select("text_key").distinct()
-    bare = marked.join(F.broadcast(empty) if empty.count() < 1000 else empty,
-                       marked["_key"] == empty["text_key"], "left_semi").drop("_key")
-    chosen = marked.join(best, (F.col("_key") == F.col("_best_key")) & F.col(id_col).eqNullSafe(F.col("_best_id")))
-    chosen = chosen.dropDuplicates(["_key", id_col]).select(*docs.columns)
-    return chosen.unionByName(bare)
+    groups = near_groups(docs, id_col, text_col, **options).where("set_key is not null")
+    rows = durable(groups.groupBy(F.coalesce("component", "set_key").alias("component"), "doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("n")), "near-rows")
+    best = rows.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
+    marked = rows.join(best, "component").select(
+        "n", _row_key(F.col("doc_id"), F.col("text_key")).alias("row_key"),
+        (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key"))).alias("stays"))
+    marked = durable(marked, "near-marks")
+    losers = marked.where(~F.col("stays")).select("row_key")
+    again = marked.where("stays and n > 1").select("row_key")
+    keyed = docs.select(packed(docs).alias("row"), _row_key(F.col(id_col).cast("long"), text_key(text_col)).alias("row_key"))
+    kept = keep_keys(keyed, losers, "row_key", drop=True)
+    once = keep_keys(kept, again, "row_key", drop=True)
+    more = keep_keys(kept, again, "row_key").groupBy("row_key").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(more.select("row.*"))
+
+
+def _row_key(doc_id: Column, key: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.hex(key))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

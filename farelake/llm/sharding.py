@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from farelake.llm.common import table
+from farelake.llm.common import packed, table
 from farelake.session import durable
 
 SHARDS = 40
@@ -75,7 +75,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
                     carry: tuple[str, ...] | None = ()) -> DataFrame:
     """Per document (doc_id, size, text_crc32, shard, slot); ``carry=None`` hands all input columns on as ``row``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [F.struct(*(docs.columns if carry is None else carry)).alias("row")] if carry is None or carry else []
+    kept = [(packed(docs) if carry is None else F.struct(*carry)).alias("row")] if carry is None or carry else []
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"), *kept)
