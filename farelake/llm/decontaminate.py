@@ -46,6 +46,8 @@ THRESHOLD = 0.6
 QUESTION_SHARE = 0.6
 ANSWER_SHARE = 0.6
 SLICE_WORDS = 1_000_000
+# A score that misses the threshold by rounding alone reaches it.
+ROUNDING = 1e-9
 
 
 def _runs(words: np.ndarray, size: int = 3) -> np.ndarray:
@@ -131,7 +133,7 @@ class Index:
         cell = np.repeat(passage, n) * self.blocks + self.places[flat]
         bound = np.bincount(cell, weights=self.tops[flat])
         out = {}
-        for c in np.flatnonzero(bound >= threshold - 1e-9):
+        for c in np.flatnonzero(bound >= threshold - ROUNDING):
             p, b = divmod(int(c), self.blocks)
             if p not in out:
                 out[p] = (term[np.searchsorted(passage, p):np.searchsorted(passage, p + 1)], [])
@@ -152,7 +154,7 @@ class Index:
             bound, pivot = 0.0, None
             for c in cursors:
                 bound += c[2]
-                if bound >= threshold - 1e-9:
+                if bound >= threshold - ROUNDING:
                     pivot = c[0][c[1]][0]
                     break
             if pivot is None:
@@ -163,7 +165,7 @@ class Index:
                     if c[0][c[1]][0] == pivot:
                         score += c[0][c[1]][1]
                         c[1] += 1
-                if score >= threshold - 1e-9:
+                if score >= threshold - ROUNDING:
                     found.append((pivot, score))
             else:
                 for c in cursors:
