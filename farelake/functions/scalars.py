@@ -71,11 +71,13 @@ def password_digest(password: str | Column, salt: str | Column) -> Column:
 def is_json_document(text: str | Column) -> Column:
     """True for a JSON object or array, NULL for NULL (a check passes NULL).
 
-    Spark's reader accepts text after a closed document; see the README.
+    Spark's reader stops at the end of a document. Text after it is found by
+    putting the document into a larger one, whose next field is then not seen.
     """
     value = col_of(text)
     opened = F.substring(F.ltrim(value), 1, 1).isin("{", "[")
-    return F.when(value.isNotNull(), opened & F.get_json_object(value, "$").isNotNull())
+    inside = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit(',"_end":1}')), "$._end")
+    return F.when(value.isNotNull(), opened & F.get_json_object(value, "$").isNotNull() & inside.isNotNull())
 
 
 def default_to(value: str | Column, fallback) -> Column:

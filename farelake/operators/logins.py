@@ -215,11 +215,13 @@ def login_outcomes(attempts: DataFrame, state: DataFrame | None = None, hot_rows
     """Outcome of each attempt (attempt_id, user_sk, attempt_ts, password_ok).
 
     ``state`` holds counters and locks from an earlier run (``login_state``);
-    the columns in ``carry`` are kept. Finding the hot users is one small job
+    the columns in ``carry`` are kept. Attempts without a user or time have no
+    place in any order and are left out. Finding the hot users is one small job
     that counts attempts per user.
     """
-    rows = attempts.select("attempt_id", "user_sk", "attempt_ts",
-                           F.coalesce("password_ok", F.lit(False)).alias("password_ok"), *carry)
+    usable = attempts.where(F.col("user_sk").isNotNull() & F.col("attempt_ts").isNotNull())
+    rows = usable.select("attempt_id", "user_sk", "attempt_ts",
+                         F.coalesce("password_ok", F.lit(False)).alias("password_ok"), *carry)
     hot_users = (rows.groupBy("user_sk").agg(F.count(F.lit(1)).alias("_n"), F.min("attempt_ts").alias("_first"))
                  .where(F.col("_n") > hot_rows).select("user_sk", "_first"))
     whole = F.lit(None).cast("timestamp_ntz").alias("_slice")

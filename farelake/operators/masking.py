@@ -32,20 +32,27 @@ def mask_columns(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
 def mask_for_readers(df: DataFrame, rules: Mapping[str, str], privileged: Column) -> DataFrame:
     """As ``mask_columns``, but only on rows where ``privileged`` is not true.
 
-    For reads that carry their reader, such as an export per user.
+    For reads that carry their reader, such as an export per user. Where the
+    masked form does not fit the column's type it is NULL.
     """
     clear = F.coalesce(privileged, F.lit(False))
     return df.select([
-        F.when(clear, F.col(c)).otherwise(masked(c, rules[c]).cast(df.schema[c].dataType)).alias(c)
+        F.when(clear, F.col(c)).otherwise(masked(c, rules[c]).try_cast(df.schema[c].dataType)).alias(c)
         if c in rules else F.col(c) for c in df.columns])
 
 
 def rules_of(classification: DataFrame, table: str) -> dict[str, str]:
-    """Masking rules of one table, by column name.
+    """Masking rules of one table, by column name; of several rules for a column the strongest.
 
     Reads a table's column list, at most one row per column, to the driver:
     which expressions a projection holds must be known when it is planned.
     """
     rows = (classification.where((F.col("table_name") == table) & F.col("masking_rule").isNotNull())
-            .groupBy("column_name").agg(F.max("masking_rule").alias("rule")).collect())
-    return {r.column_name: r.rule for r in rows}
+            .select("column_name", "masking_rule").distinct().collect())
+    strongest: dict[str, str] = {}
+    for r in rows:
+        if r.masking_rule not in RULES:
+            raise ValueError(f"unknown masking rule {r.masking_rule!r}; known are {RULES}")
+        if RULES.index(r.masking_rule) >= RULES.index(strongest.get(r.column_name, RULES[0])):
+            strongest[r.column_name] = r.masking_rule
+    return strongest

@@ -8,12 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 CHUNK = "_chunk"
-HOT_ROWS = 1_000_000
-
-
-def has_hot_key(df: DataFrame, key: str, limit: int = HOT_ROWS) -> bool:
-    """Whether some key has more than ``limit`` rows: one small job that counts rows per key."""
-    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).isEmpty()
 
 
 def add_chunk(df: DataFrame, order: str, chunk: str) -> DataFrame:

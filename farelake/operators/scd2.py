@@ -10,8 +10,7 @@ from farelake.functions.scalars import OPEN_END
 from farelake.operators.joins import join_spreading_nulls
 from farelake.operators.keys import highest, number_rows
 from farelake.operators.latest import latest_per_key
-from farelake.operators.neighbours import (
-    HOT_ROWS, add_chunk, has_hot_key, with_neighbour, with_neighbour_chunked)
+from farelake.operators.neighbours import add_chunk, with_neighbour_chunked
 
 START, END, CURRENT = "effective_start_date", "effective_end_date", "is_current"
 
@@ -20,23 +19,27 @@ def open_end() -> Column:
     return F.lit(OPEN_END).cast("timestamp_ntz")
 
 
+def unversioned_changes(changes: DataFrame, key: str, changed_at: str) -> DataFrame:
+    """Changes that no version can be made of, for the quarantine: the key or the time is NULL."""
+    return changes.where(F.col(key).isNull() | F.col(changed_at).isNull())
+
+
 def build_versions(changes: DataFrame, key: str, changed_at: str, sequence: Sequence[str],
-                   tracked: Sequence[str], chunk: str = "day", hot_rows: int = HOT_ROWS) -> DataFrame:
+                   tracked: Sequence[str], chunk: str = "day") -> DataFrame:
     """Versions from a feed of attribute values.
 
     Values with the same key and time are reduced to the last by ``sequence``.
     A new version starts when a tracked attribute differs from the value
-    before it, NULL included. The last version's end is open. If some key has
-    more than ``hot_rows`` changes, keys are worked off in time chunks.
+    before it, NULL included. The last version's end is open. All keys are
+    worked off in time chunks. Changes without a key or time are left to
+    ``unversioned_changes``.
     """
-    feed = changes.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked)
-    rows = latest_per_key(feed, [key, START], sequence).select(key, START, *tracked)
-    neighbour = with_neighbour
-    if has_hot_key(feed, key, hot_rows):
-        neighbour, rows = with_neighbour_chunked, add_chunk(rows, START, chunk)
-    before = neighbour(rows, key, START, tracked, "previous", "_before")
+    usable = changes.where(F.col(key).isNotNull() & F.col(changed_at).isNotNull())
+    feed = usable.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked)
+    rows = add_chunk(latest_per_key(feed, [key, START], sequence).select(key, START, *tracked), START, chunk)
+    before = with_neighbour_chunked(rows, key, START, tracked, "previous", "_before")
     changed = F.col("_before").isNull() | ~F.struct(*tracked).eqNullSafe(F.col("_before"))
-    after = neighbour(before.where(changed).drop("_before"), key, START, [START], "next", "_after")
+    after = with_neighbour_chunked(before.where(changed).drop("_before"), key, START, [START], "next", "_after")
     return after.select(
         key, *tracked, START,
         F.coalesce(F.col(f"_after.{START}"), open_end()).alias(END),
@@ -46,7 +49,7 @@ def build_versions(changes: DataFrame, key: str, changed_at: str, sequence: Sequ
 
 def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key: str, surrogate: str,
                    changed_at: str, sequence: Sequence[str], tracked: Sequence[str],
-                   chunk: str = "day", hot_rows: int = HOT_ROWS) -> DataFrame:
+                   chunk: str = "day") -> DataFrame:
     """Bring a versioned dimension up to date after new or late changes.
 
     ``log`` is the whole change log, ``touched`` the keys with new entries.
@@ -58,7 +61,7 @@ def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key
     columns = [surrogate, key, *tracked, START, END, CURRENT]
     untouched = dimension.select(columns).join(keys, key, "left_anti")
     rebuilt = build_versions(log.join(keys, key, "left_semi"), key, changed_at, sequence, tracked,
-                             chunk, hot_rows)
+                             chunk)
     known = dimension.select(key, START, surrogate)
     fresh = with_version_id(rebuilt.join(known.drop(surrogate), [key, START], "left_anti"), key)
     numbered = number_rows(fresh, VERSION, surrogate, highest(dimension, surrogate))

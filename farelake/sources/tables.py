@@ -37,26 +37,31 @@ def with_partition_column(df: DataFrame, table: str, grain: str = "day") -> Data
     return df.withColumn(partition_column(table, grain), F.to_date(F.date_trunc(grain, PARTITIONED[table][1])))
 
 
-def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite", grain: str = "day") -> None:
+def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite", grain: str = "day",
+                whole: bool = False) -> None:
     """Write a table; facts go into one folder per day or month.
 
     The rebalance hint lets Spark cut a heavy date into several files of even
     size and put light dates together, so no date is one task. Overwriting
-    replaces only the folders the rows fall into.
+    replaces only the folders the rows fall into, or with ``whole`` the table:
+    a full load must, since a row whose date was corrected would otherwise stay
+    in its old folder too.
     """
     if table not in PARTITIONED:
         df.write.mode(mode).parquet(f"{root}/{table}")
         return
     column = partition_column(table, grain)
     rows = with_partition_column(df, table, grain).hint("rebalance", column)
-    rows.write.mode(mode).partitionBy(column).parquet(f"{root}/{table}")
+    writer = rows.write.option("partitionOverwriteMode", "static" if whole else "dynamic")
+    writer.mode(mode).partitionBy(column).parquet(f"{root}/{table}")
 
 
 def conform(df: DataFrame, table: str, as_of=None) -> DataFrame:
     """Give ``df`` a table's full column list.
 
     A column that is missing gets its declared default, else NULL. An explicit
-    NULL in a present column stays NULL, as it does on insert.
+    NULL in a present column stays NULL, as it does on insert. A value that its
+    column cannot hold becomes NULL and does not stop the load.
     """
     now = clock(as_of)
     defaults = DEFAULTS.get(table, {})
@@ -70,5 +75,5 @@ def conform(df: DataFrame, table: str, as_of=None) -> DataFrame:
             value = now if text == "now" else F.expr(text)
         else:
             value = F.lit(None)
-        columns.append(value.cast(field.dataType).alias(field.name))
+        columns.append(value.try_cast(field.dataType).alias(field.name))
     return df.select(columns)
