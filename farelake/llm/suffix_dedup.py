@@ -271,7 +271,7 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
     tops = kinds.where(F.col("kinds") > MANY).limit(1).count()
     pieces_of_many = cut.where(single)
     twice = pieces_of_many.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    by_window = pieces_of_many.join(twice, "core").select("text_key", "first", "last")
+    by_window = pieces_of_many.join(twice, "core", "left_semi").select("text_key", "first", "last")
     by_array = (cut.where(~single).repartition(parts, "core").sortWithinPartitions("core", "left", "right")
                 .mapInArrow(_array_batches, "text_key binary, first int, last int"))
     found = whole.unionByName(by_array)
