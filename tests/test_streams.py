@@ -70,3 +70,15 @@ def test_redelivered_rows_are_dropped_and_updates_kept(spark, tmp_path):
     stream = jobs.file_stream(spark, source, spark.createDataFrame([], cols).schema, max_files=1)
     got = jobs.run_available(jobs.stream_staging(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted((r.trip_id, r.raw_data) for r in got.collect()) == [("t", '{"s":1}'), ("t", '{"s":2}')]
+
+
+def test_updates_without_a_raw_record_are_kept(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 10)
+    cols = "trip_id string, status string, fare_breakdown string, raw_data string, ingestion_timestamp timestamp_ntz"
+    rows = [("t", "REQUESTED", None, None, at), ("t", "COMPLETED", None, None, at + dt.timedelta(hours=1)),
+            ("t", "COMPLETED", None, None, at + dt.timedelta(hours=2)), ("t", None, None, None, at)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, cols).write.parquet(source)
+    stream = jobs.file_stream(spark, source, spark.createDataFrame([], cols).schema)
+    got = jobs.run_available(jobs.stream_staging(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(str(r.status) for r in got.collect()) == ["COMPLETED", "None", "REQUESTED"]
