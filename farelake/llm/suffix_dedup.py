@@ -18,9 +18,10 @@ A byte goes when a string of ``LENGTH`` bytes that covers it also starts anywher
 4. Cut. Intervals of repeated windows are gathered for each text, and texts that
    have any are read once more and cut.
 
-An anchor that more than ``MANY`` different contexts share is cut into pieces of one
-window start; their core is the whole window, so that groups need no suffix
-array and are settled by an aggregation: no group of unbounded size meets in a task.
+Pieces around an anchor that more than ``MANY`` different contexts share need no
+suffix array. Equal pieces are found by an aggregation and go as a whole; of pieces
+that differ around a shared core, one of each is cut into its windows, which a second
+aggregation compares. No group of unbounded size meets in a task.
 
 Defined results: a NULL text counts as empty; texts shorter than ``LENGTH`` keep all.
 Rows equal in id and text are copies of each other like any rows with equal texts.
@@ -124,24 +125,24 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts with the contexts asked for: rows (core, left, right, text_key, first, last)."""
-    names = ["core", "left", "right", "text_key", "first", "last"]
+    """Of texts with the contexts asked for: rows (core, left, right, text_key, first, last, many)."""
+    names = ["core", "left", "right", "text_key", "first", "last", "many"]
     for batch in batches:
         for row in range(batch.num_rows):
             text = batch.column("text")[row].as_py().encode()
             key = batch.column("text_key")[row].as_py()
             out = []
             for c in batch.column("contexts")[row].as_py():
-                at, step = c["at"], 1 if c["many"] else STEP
-                # Window starts at - j; piece q has j from q * step to q * step + step - 1.
+                at = c["at"]
+                # Window starts at - j; piece q has j from q * STEP to q * STEP + STEP - 1.
                 near, far = at - c["last"], at - c["first"]
-                for q in range(near // step, far // step + 1):
-                    lo, hi = max(near, q * step), min(far, q * step + step - 1)
-                    core_from, core_to = at - q * step, at - q * step - step + 1 + LENGTH
-                    core = xxhash.xxh3_128_digest(text[core_from:core_to], seed=(c["anchor"] ^ (q * 2654435761 + step)) & (2 ** 64 - 1))
-                    out.append((core, text[at - hi:core_from], text[core_to:at - lo + LENGTH], key, at - hi, at - lo))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.binary()] * 4 + [pa.int32()] * 2
+                for q in range(near // STEP, far // STEP + 1):
+                    lo, hi = max(near, q * STEP), min(far, q * STEP + STEP - 1)
+                    core_from, core_to = at - q * STEP, at - q * STEP - STEP + 1 + LENGTH
+                    core = xxhash.xxh3_128_digest(text[core_from:core_to], seed=(c["anchor"] ^ (q * 2654435761 + STEP)) & (2 ** 64 - 1))
+                    out.append((core, text[at - hi:core_from], text[core_to:at - lo + LENGTH], key, at - hi, at - lo, c["many"]))
+            columns = list(zip(*out)) if out else [()] * 7
+            kinds = [pa.binary()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
@@ -244,6 +245,29 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
+def _repeated_of_many(cut: DataFrame) -> list[DataFrame]:
+    """Repeated windows in pieces of anchors with many contexts, by aggregations: rows (text_key, first, last)."""
+    whole = ["core", "left", "right"]
+    distinct = durable(cut.groupBy(*whole).agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("text_key", "first", "last")).alias("one")), "distinct-pieces")
+    equal = cut.join(distinct.where("times > 1").select(*whole), whole, "left_semi").select("text_key", "first", "last")
+    varied = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    # A window is the core and STEP - 1 bytes beside it, the last of ``left`` and the first of ``right``.
+    windows = distinct.join(varied, "core", "left_semi").select(
+        "core", "left", "right", "times", "one.text_key", "one.first",
+        F.explode(F.sequence(F.lit(0), F.col("one.last") - F.col("one.first"))).alias("i"))
+    beside = F.octet_length("left") - F.col("i")
+    windows = durable(windows.select(
+        "core", F.substring("left", F.col("i") + 1, beside).alias("left"),
+        F.substring("right", F.lit(1), F.lit(STEP - 1) - beside).alias("right"),
+        "times", "text_key", (F.col("first") + F.col("i")).alias("start")), "windows-of-many")
+    twice = windows.groupBy(*whole).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*whole)
+    # Pieces that occur twice have gone as a whole already.
+    single = windows.where("times = 1").join(twice, whole, "left_semi").select(
+        "text_key", F.col("start").alias("first"), F.col("start").alias("last"))
+    return [equal, single]
+
+
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """Stored rows (text_key, first, last): windows that start there occur elsewhere. ``texts`` has (text_key, text)."""
     spark = texts.sparkSession
@@ -264,18 +288,16 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
     wanted = durable(asked.select("text_key").distinct(), "asked-texts")
     sources = keep_keys(texts, wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
     cut = sources.join(asked.groupBy("text_key").agg(F.collect_list("c").alias("contexts")), "text_key").mapInArrow(
-        _piece_batches, "core binary, left binary, right binary, text_key binary, first int, last int")
+        _piece_batches, "core binary, left binary, right binary, text_key binary, first int, last int, many boolean")
     cut = durable(cut, "pieces")
-    single = (F.octet_length("left") + F.octet_length("right") == 0) & (F.col("first") == F.col("last"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tops = kinds.where(F.col("kinds") > MANY).limit(1).count()
-    pieces_of_many = cut.where(single)
-    twice = pieces_of_many.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    by_window = pieces_of_many.join(twice, "core", "left_semi").select("text_key", "first", "last")
-    by_array = (cut.where(~single).repartition(parts, "core").sortWithinPartitions("core", "left", "right")
+    by_array = (cut.where("not many").repartition(parts, "core").sortWithinPartitions("core", "left", "right")
                 .mapInArrow(_array_batches, "text_key binary, first int, last int"))
     found = whole.unionByName(by_array)
-    return durable(found.unionByName(by_window) if tops else found, "repeated")
+    if not kinds.where(F.col("kinds") > MANY).isEmpty():
+        for part in _repeated_of_many(cut.where("many")):
+            found = found.unionByName(part)
+    return durable(found, "repeated")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
