@@ -10,14 +10,25 @@ from farelake.registry import EVENT_CLOCK, query
 
 PERMISSION_TABLES = ("security_users", "user_roles", "security_roles", "role_permissions", "security_permissions")
 
+# Rights per role as one list, then the roles each user holds.
 USER_PERMISSIONS = """
-select distinct u.user_id, u.email, r.role_name, p.permission_code, p.permission_name, p.resource_name, p.action_type
-from security_users u
-join user_roles ur on u.user_sk = ur.user_sk and ur.is_active {valid}
-join security_roles r on ur.role_sk = r.role_sk and r.is_active
-join role_permissions rp on r.role_sk = rp.role_sk and rp.is_active
-join security_permissions p on rp.permission_sk = p.permission_sk and p.is_active
-where u.user_status = 'ACTIVE'"""
+with rights as (
+  select permission_sk, {{'code': permission_code, 'name': permission_name, 'resource': resource_name,
+                         'action': action_type}} as item
+  from security_permissions where is_active),
+role_sets as (
+  select role_sk, list(item) as items
+  from (select distinct role_sk, permission_sk from role_permissions where is_active) join rights using (permission_sk)
+  group by role_sk),
+held as (select distinct user_sk, role_sk from user_roles where is_active {valid}),
+user_items as (
+  select user_sk, role_name, unnest(items) as item
+  from held join role_sets using (role_sk)
+  join (select role_sk, role_name from security_roles where is_active) using (role_sk))
+select user_id, email, role_name, item.code as permission_code, item.name as permission_name,
+       item.resource as resource_name, item.action as action_type
+from user_items join (select user_sk, user_id, email from security_users where user_status = 'ACTIVE') using (user_sk)
+group by all"""
 
 query("v_active_users", "security_users", sql="""
 select user_id, email, first_name || ' ' || last_name as full_name, account_type, user_status, last_login_at,
@@ -28,15 +39,19 @@ query("v_user_permissions", *PERMISSION_TABLES, sql=USER_PERMISSIONS.format(vali
     access.v_user_permissions)
 
 query("effective_permissions_asof", *PERMISSION_TABLES, sql=USER_PERMISSIONS.format(
-    valid=f"and (ur.expires_at is null or ur.expires_at > timestamp '{EVENT_CLOCK}')"))(
+    valid=f"and (expires_at is null or expires_at > timestamp '{EVENT_CLOCK}')"))(
     lambda wh: access.effective_permissions_asof(wh, EVENT_CLOCK))
 
 query("v_security_audit_summary", "security_audit_log", "security_users", sql=f"""
-select u.user_id, u.email, a.event_type, count(*) as event_count, max(a.event_timestamp) as last_event,
-       cast(sum(case when a.success = false then 1 else 0 end) as bigint) as failed_attempts
-from security_audit_log a join security_users u on a.user_sk = u.user_sk
-where a.event_timestamp >= timestamp '{EVENT_CLOCK}' - interval '30' day
-group by u.user_id, u.email, a.event_type""")(
+with per_key as (
+  select user_sk, event_type, count(*) as n, count(*) filter (where not success) as failed,
+         max(event_timestamp) as latest
+  from security_audit_log where event_timestamp >= timestamp '{EVENT_CLOCK}' - interval '30' day
+  group by all)
+select user_id, email, event_type, cast(sum(n) as bigint) as event_count, max(latest) as last_event,
+       cast(sum(failed) as bigint) as failed_attempts
+from per_key join (select user_sk, user_id, email from security_users) using (user_sk)
+group by user_id, email, event_type""")(
     lambda wh: access.v_security_audit_summary(wh, EVENT_CLOCK))
 
 query("expand_role_grants", "security_roles", "permission_catalogue", "existing_grants", sql="""

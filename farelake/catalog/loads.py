@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from farelake.catalog.trips import DAILY_REVENUE
 from farelake.functions.scalars import location_key
 from farelake.operators import masking, policies, quality, retention
 from farelake.operators.keys import assign_surrogate_keys
@@ -464,16 +465,8 @@ def stored_daily_revenue(wh):
     return monitoring.materialize(view, scratch_dir(wh.spark, "daily-revenue"), "trip_month")
 
 
-query("materialize_views", "fact_trips", "dim_locations", "dim_trip_status", sql="""
-select cast(ft.pickup_timestamp as date) as trip_date, pl.city, count(*) as total_trips,
-       cast(sum(ft.total_fare) as decimal(20,2)) as total_revenue,
-       cast(sum(ft.total_fare) as double) / count(ft.total_fare) as avg_fare,
-       cast(sum(ft.driver_earnings) as decimal(20,2)) as driver_earnings,
-       cast(sum(ft.company_commission) as decimal(20,2)) as company_revenue,
-       cast(date_trunc('month', cast(ft.pickup_timestamp as date)) as date) as trip_month
-from fact_trips ft join dim_locations pl on ft.pickup_location_sk = pl.location_sk
-where ft.trip_status_sk = (select trip_status_sk from dim_trip_status where status_code = 'COMPLETED')
-group by 1, 2, 8""")(stored_daily_revenue)
+query("materialize_views", "fact_trips", "dim_locations", "dim_trip_status", sql=f"""
+select *, cast(date_trunc('month', trip_date) as date) as trip_month from ({DAILY_REVENUE}) as v""")(stored_daily_revenue)
 
 query("mask_columns", "security_users", sql="""
 select user_sk, case when length(user_id) <= 4 then '****' else '****' || right(user_id, 4) end as user_id,
