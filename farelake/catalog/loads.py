@@ -13,6 +13,7 @@ from farelake.plans import dimensions, facts, monitoring, views
 from farelake.registry import EVENT_CLOCK, TRIP_CLOCK, query
 from farelake.schemas import ACCEPTED
 from farelake.session import durable, scratch_dir
+from farelake.sources.tables import write_table
 
 LOAD_MARK = "1998-01-01 00:00:00"
 
@@ -347,10 +348,12 @@ select driver_sk, cast(pickup_timestamp as date) as activity_date, count(*) as t
 from fact_trips t left join dim_trip_status s on s.trip_status_sk = t.trip_status_sk
 where pickup_timestamp is not null group by 1, 2"""
 
-query("driver_daily", "fact_trips", "dim_trip_status", "driver_feed", sql=f"""
+DAYS_WITH_FEED = f"""
 select d.*, f.hours_online, cast(d.total_trips as double) * 100 / nullif(f.offered_trips, 0) as acceptance_rate
 from ({DRIVER_DAYS}) as d
-left join driver_feed f on f.driver_sk = d.driver_sk and f.activity_date = d.activity_date""")(
+left join driver_feed f on f.driver_sk = d.driver_sk and f.activity_date = d.activity_date"""
+
+query("driver_daily", "fact_trips", "dim_trip_status", "driver_feed", sql=DAYS_WITH_FEED)(
     lambda wh: facts.driver_daily(wh["fact_trips"], wh["dim_trip_status"], wh["driver_feed"]))
 
 LATE = f"""
@@ -375,6 +378,23 @@ with affected as (
 select d.*, cast(null as decimal(5,2)) as hours_online, cast(null as double) as acceptance_rate
 from ({DRIVER_DAYS}) as d join affected on sk = driver_sk and day = activity_date""")(late_driver_days)
 
+
+def late_days_stored(wh):
+    """Daily sums stored without the late trips; then the months these fall into are replaced, and all is read back."""
+    trips, statuses, feed = wh["fact_trips"], wh["dim_trip_status"], wh["driver_feed"]
+    late = durable(facts.late_rows(wh["staging_raw_trips"], LOAD_MARK).select("trip_id"), "late-trips")
+    root = scratch_dir(wh.spark, "late-days")
+    days = facts.driver_daily(trips.join(late, "trip_id", "left_anti"), statuses, feed)
+    write_table(days, root, "fact_driver_daily", grain="month", whole=True)
+    touched = (trips.where(F.col("pickup_timestamp").isNotNull()).join(late, "trip_id", "left_semi")
+               .select(F.to_date("pickup_timestamp").alias("activity_date")))
+    write_table(facts.recompute_days(trips, touched, statuses, feed, "month"), root, "fact_driver_daily", grain="month")
+    return wh.spark.read.schema(days.schema).parquet(f"{root}/fact_driver_daily").select(days.columns)
+
+
+query("late_driver_days_stored", "staging_raw_trips", "fact_trips", "dim_trip_status", "driver_feed",
+      sql=DAYS_WITH_FEED)(late_days_stored)
+
 query("unknown_members", "staging_raw_trips", "rider_changes", sql=f"""
 with missing as (select distinct rider_id from staging_raw_trips
                  where rider_id not in (select rider_id from rider_changes where arrives_late)),
