@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from farelake.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from farelake.llm import (decontaminate, exact_dedup, fill_middle, lexical_search, licences, mixing, near_dedup, quality, sharding,
+                          suffix_dedup, toxicity, url_filter)
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,10 +16,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_fill_middle": fill_middle.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
