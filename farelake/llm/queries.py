@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from farelake.llm import (decontaminate, exact_dedup, fill_middle, lexical_search, licences, mixing, near_dedup, quality, sharding,
+from farelake.llm import (decontaminate, exact_dedup, fill_middle, html_text, lexical_search, licences, mixing, near_dedup, quality, sharding,
                           suffix_dedup, toxicity, url_filter)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_near_dedup": near_dedup.query,
     "op11_fill_middle": fill_middle.query,
+    "op12_html_text": html_text.query,
     "op13_lexical_search": lexical_search.query,
 }
 
