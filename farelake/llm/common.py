@@ -40,3 +40,18 @@ def keep_keys(rows: DataFrame, keys: DataFrame, key: str, drop: bool = False) ->
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return rows.join(keys, key, "left_anti" if drop else "left_semi")
+
+
+def item_slices(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
+    """Distinct rows (item_id, text), a stored table, in parts of at most ``slice_bytes``, or of one item where that is longer."""
+    sized = items.select("item_id", "text", F.octet_length("text").alias("n"), F.xxhash64("item_id", "text").alias("place"))
+    n = 1
+    while True:
+        part = F.pmod("place", F.lit(n))
+        over = sized.groupBy(part).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        if over.where((F.col("n") > slice_bytes) & (F.col("rows") > 1)).isEmpty():
+            break
+        n *= 2
+    kept = sized.select("item_id", "text", F.pmod("place", F.lit(n)).alias("part"))
+    parts = [r[0] for r in kept.select("part").distinct().orderBy("part").collect()]  # a number per pass
+    return [kept.where(F.col("part") == p).select("item_id", "text") for p in parts]

@@ -3,30 +3,34 @@
 The test items are the indexed side, the training corpus asks. An item's words
 (runs of letters and digits, A-Z lower-cased) get BM25 weights, divided by the
 score the item gives itself, so that 1 is a whole copy. Items longer than
-``SEGMENT`` words are indexed by segments. Postings stand in blocks of
+``SEGMENT`` words are indexed by segments of even length. Postings stand in blocks of
 ``BLOCK`` segments, and each term keeps its largest weight in each block.
 
 Every document is cut into passages of two segment lengths, each starting one
-segment length after the one before, so an item copied anywhere lies whole in
-one passage. For each passage and block the sum of the block maxima bounds every
-score in the block; only blocks whose bound reaches the threshold are evaluated,
-by WAND: postings sorted by segment, a pivot where the term bounds reach the
-threshold, a full score only there. All segments at or above the threshold are
-retrieved. A hit counts when question and answer are really there: a share of
-the word trigrams of the segment's question part and of its answer part (its
-last sentence, or last quarter) must occur in the passage.
-
-The index goes to the tasks in slices of at most ``SLICE_WORDS`` item words; more
-items mean more passes over the corpus, not larger ones.
-
-Defined results: NULL or empty texts and items match nothing. Copied items give
-a row each. Rows equal in id and text give a row each too. Other columns are
-not looked at. With no items or no documents there are no rows.
+segment length after the one before, so a segment copied anywhere lies whole in
+one passage. A passage for which no block's maxima reach the threshold together is
+left out first. The others walk the postings by block-max WAND: a pivot where
+the terms' largest weights reach the threshold, a leap over the block where its
+maxima do not, a full score only where they do. All segments at or above the threshold are retrieved.
+
+An item counts as found when question and answer are really there: a share of the
+word trigrams of its question part and of its answer part (its last sentence, or
+last quarter) must occur in the passages its segments were found in. A part of one or two
+words is compared as a run of its length; an answer so short, together with the
+question's last words.
+
+The index goes to the tasks in slices of at most ``SLICE_BYTES`` of item text (or one
+item that is longer); more items mean more passes over the corpus, not larger ones.
+
+Defined results: NULL or empty texts and items match nothing. Repeated items count
+once, different texts of one id are items of their own. Rows of documents equal in id and
+text give a row each. Other columns are not looked at. With no items or no documents there are no rows.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -35,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm.common import keep_keys, packed, table, text_key
+from farelake.llm.common import item_slices, keep_keys, packed, table, text_key
 from farelake.llm.shingles import PUNCTUATION, _PLACE, pieces, scramble, word_hashes
 from farelake.session import durable
 
@@ -45,21 +49,31 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_SHARE = 0.6
 ANSWER_SHARE = 0.6
-SLICE_WORDS = 1_000_000
+SLICE_BYTES = 6 << 20
+# Words of a run compared by the overlap check.
+RUN = 3
+# Sums of block maxima held together for the passages of a document.
+CELLS = 1 << 20
 # A score that misses the threshold by rounding alone reaches it.
 ROUNDING = 1e-9
 
 
-def _runs(words: np.ndarray, size: int = 3) -> np.ndarray:
-    """Hashes of the word runs of ``size``, in order; the whole sequence as one when it is shorter."""
-    if len(words) < size:
-        return scramble(np.array([(words * _PLACE[:len(words)]).sum() + np.uint64(len(words))], np.uint64)) if len(words) else words
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the word runs of ``size``, in order; none when there are fewer words."""
+    if not 0 < size <= len(words):
+        return np.zeros(0, np.uint64)
     h = words[:len(words) - size + 1] * _PLACE[0]
     for k in range(1, size):
         h = h + words[k:len(words) - size + 1 + k] * _PLACE[k]
     return scramble(h)
 
 
+def _part(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """(run size, distinct runs) of a part: of three words, or of its own length where it is shorter."""
+    size = min(RUN, len(words))
+    return size, np.unique(_runs(words, size))
+
+
 def words_of(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     return word_hashes(data, np.array([0, len(data)]), PUNCTUATION)[0]
@@ -73,37 +87,51 @@ def answer_words(text: str, n_words: int) -> int:
     return tail if 0 < tail <= n_words // 2 else max(1, n_words // 4)
 
 
+LEAK_ROWS = ("doc_id long, text_key binary, item_id long, score double, question_overlap double, answer_overlap double, "
+             "first_word long, last_word long, passages long")
+
+
 class Index:
-    """Block-max BM25 index of item segments; weights are shares of a segment's score for itself."""
+    """Block-max BM25 index of item segments; weights are shares of a segment's score for itself.
+
+    ``question`` and ``answer`` hold each segment's parts as (run size, runs),
+    ``runs_of`` the number of runs of either part of each whole item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_words: float,
                  segment: int = SEGMENT, block: int = BLOCK):
         self.segment, self.block = segment, block
-        self.item_ids, self.question, self.answer = [], [], []
+        self.item_ids, self.item_of, self.question, self.answer, self.runs_of = [], [], [], [], []
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
-            if not len(words):
+            n = len(words)
+            if not n:
                 continue
-            tail = answer_words(text, len(words))
-            for start in range(0, len(words), segment):
-                part = words[start:start + segment]
-                if start and len(part) < segment // 4:
-                    break
-                at = len(self.item_ids)
+            split = n - answer_words(text, n) if n > 1 else n
+            # Segments of even length, none longer than ``segment``: no tail is left over.
+            cuts = np.linspace(0, n, -(-n // segment) + 1).astype(int).tolist()
+            totals = np.zeros(2, np.int64)
+            for low, high in zip(cuts, cuts[1:]):
+                part, at = words[low:high], len(self.item_of)
                 terms, tf = np.unique(part, return_counts=True)
                 idf = np.array([math.log(1 + (n_items - df.get(int(t), 1) + 0.5) / (df.get(int(t), 1) + 0.5)) for t in terms])
                 weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean_words))
                 for term, w in zip(terms, weight / weight.sum()):
                     postings[int(term)].append((at, float(w)))
-                self.item_ids.append(item_id)
-                split = len(part) - tail if len(words) <= segment else len(part) - max(1, len(part) // 4)
-                self.question.append(np.unique(_runs(part[:max(1, split)])))
-                self.answer.append(np.unique(_runs(part[max(1, split):])) if len(part) > 1 else np.zeros(0, np.uint64))
+                turn = min(max(split - low, 0), len(part))
+                # An answer of one or two words is looked for behind the question's last words.
+                begin = max(0, min(turn, len(part) - RUN)) if turn < len(part) else turn
+                self.item_of.append(len(self.item_ids))
+                self.question.append(_part(part[:turn]))
+                self.answer.append(_part(part[begin:]))
+                totals += len(self.question[-1][1]), len(self.answer[-1][1])
+            self.item_ids.append(item_id)
+            self.runs_of.append(tuple(totals.tolist()))
         self.terms = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(t)] for t in self.terms]
-        self.blocks = -(-len(self.item_ids) // block)
-        # Block maxima as flat arrays: term i has entries starts[i]:starts[i + 1].
+        self.blocks = -(-len(self.item_of) // block)
+        # Block maxima as flat arrays: term i has entries starts[i]:starts[i + 1], and its largest weight of all in most[i].
         starts, places, tops = [0], [], []
         for posting in self.postings:
             best: dict[int, float] = {}
@@ -114,74 +142,129 @@ class Index:
                 tops.append(best[b])
             starts.append(len(places))
         self.starts, self.places, self.tops = np.array(starts), np.array(places, np.int64), np.array(tops)
+        self.tops_of = [dict(zip(places[low:high], tops[low:high])) for low, high in zip(starts, starts[1:])]
+        self.segments = [[at for at, _ in posting] for posting in self.postings]
+        self.most = [max(w for _, w in posting) for posting in self.postings]
+
+    def candidates(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(passage number, its distinct indexed terms) where some block's maxima reach the threshold together.
 
-    def candidates(self, words: np.ndarray, threshold: float) -> dict[int, tuple[np.ndarray, list[int]]]:
-        """Passage number -> (its distinct indexed terms, blocks whose bound reaches the threshold)."""
+        All other passages have no hit and are not walked. Passages are taken
+        so many at a time that about ``CELLS`` sums of blocks, or those of one passage, are held.
+        """
         if not len(self.terms):
-            return {}
+            return
         at = np.searchsorted(self.terms, words)
         at[at == len(self.terms)] = 0
         hit = np.flatnonzero(self.terms[at] == words)
         if not len(hit):
-            return {}
+            return
         term, place = at[hit], hit // self.segment
         v = len(self.terms)
         both = np.unique(np.concatenate([place * v + term, np.maximum(place - 1, 0) * v + term]))
         passage, term = both // v, both % v
         n = self.starts[term + 1] - self.starts[term]
-        flat = np.repeat(self.starts[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        cell = np.repeat(passage, n) * self.blocks + self.places[flat]
-        bound = np.bincount(cell, weights=self.tops[flat])
-        out = {}
-        for c in np.flatnonzero(bound >= threshold - ROUNDING):
-            p, b = divmod(int(c), self.blocks)
-            if p not in out:
-                out[p] = (term[np.searchsorted(passage, p):np.searchsorted(passage, p + 1)], [])
-            out[p][1].append(b)
-        return out
-
-    def wand(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
-        """(segment, score) of the block's segments at or above the threshold, for distinct query terms."""
-        low, high = block * self.block, (block + 1) * self.block
-        cursors = []
-        for t in terms:
-            rows = [x for x in self.postings[t] if low <= x[0] < high]
-            if rows:
-                cursors.append([rows, 0, max(w for _, w in rows)])
+        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        bounds = np.append(first, len(term))
+        # Runs of passages with about CELLS sums, or one passage.
+        load = np.cumsum(np.maximum(np.add.reduceat(n, first), self.blocks)) // CELLS
+        edges = np.append(np.flatnonzero(np.diff(load, prepend=-1)), len(first))
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            span = slice(bounds[low], bounds[high])
+            t, m = term[span], n[span]
+            row = np.repeat(np.arange(high - low), np.diff(bounds[low:high + 1]))
+            flat = np.repeat(self.starts[t] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            bound = np.bincount(np.repeat(row, m) * self.blocks + self.places[flat], weights=self.tops[flat],
+                                minlength=(high - low) * self.blocks).reshape(high - low, self.blocks)
+            for k in (low + np.flatnonzero(bound.max(axis=1) >= threshold - ROUNDING)).tolist():
+                yield int(passage[first[k]]), term[bounds[k]:bounds[k + 1]]
+
+    def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """(segment, score) of all segments at or above the threshold, for distinct query terms.
+
+        Cursors stand in the terms' postings. The pivot is the first segment that
+        the terms up to it could lift to the threshold; where the maxima of its
+        block cannot, all of them leap to the next block or to the next term's segment.
+        """
+        need = threshold - ROUNDING
+        cursors = [[self.segments[t][0], 0, t] for t in terms.tolist()]  # segment, place in the postings, term
         found = []
+
+        def leap(cursor: list, to: int) -> bool:
+            own = self.segments[cursor[2]]
+            cursor[1] = bisect_left(own, to, cursor[1])
+            if cursor[1] < len(own):
+                cursor[0] = own[cursor[1]]
+                return True
+            return False
+
         while cursors:
-            cursors.sort(key=lambda c: c[0][c[1]][0])
-            bound, pivot = 0.0, None
-            for c in cursors:
-                bound += c[2]
-                if bound >= threshold - ROUNDING:
-                    pivot = c[0][c[1]][0]
+            cursors.sort()
+            bound, last = 0.0, None
+            for k, (_, _, t) in enumerate(cursors):
+                bound += self.most[t]
+                if bound >= need:
+                    last = k
                     break
-            if pivot is None:
+            if last is None:
                 break
-            if cursors[0][0][cursors[0][1]][0] == pivot:
-                score = 0.0
-                for c in cursors:
-                    if c[0][c[1]][0] == pivot:
-                        score += c[0][c[1]][1]
-                        c[1] += 1
-                if score >= threshold - ROUNDING:
+            pivot = cursors[last][0]
+            while last + 1 < len(cursors) and cursors[last + 1][0] == pivot:
+                last += 1
+            block = pivot // self.block
+            if sum(self.tops_of[t].get(block, 0.0) for _, _, t in cursors[:last + 1]) < need:
+                to = (block + 1) * self.block
+                if last + 1 < len(cursors):
+                    to = min(to, cursors[last + 1][0])
+                cursors = [c for k, c in enumerate(cursors) if k > last or leap(c, to)]
+            elif cursors[0][0] == pivot:
+                score = sum(self.postings[t][at][1] for _, at, t in cursors[:last + 1])
+                if score >= need:
                     found.append((pivot, score))
+                cursors = [c for k, c in enumerate(cursors) if k > last or leap(c, pivot + 1)]
             else:
-                for c in cursors:
-                    while c[1] < len(c[0]) and c[0][c[1]][0] < pivot:
-                        c[1] += 1
-            cursors = [c for c in cursors if c[1] < len(c[0])]
+                cursors = [c for c in cursors if c[0] >= pivot or leap(c, pivot)]
         return found
 
-    def search(self, words: np.ndarray, threshold: float) -> list[tuple[int, float, int]]:
+    def search(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int]]:
         """(segment, score, passage number) of everything at or above the threshold."""
-        return [(s, score, p) for p, (terms, blocks) in self.candidates(words, threshold).items()
-                for b in blocks for s, score in self.wand(terms, b, threshold)]
-
-
-def _share(part: np.ndarray, have: np.ndarray) -> float:
-    return float(np.isin(part, have).mean()) if len(part) else 1.0
+        for p, terms in self.candidates(words, threshold):
+            for s, score in self.wand(terms, threshold):
+                yield s, score, p
+
+
+class _Found:
+    """What a document holds of one item."""
+
+    def __init__(self):
+        self.score, self.low, self.high, self.passages, self.parts = 0.0, 1 << 62, 0, 0, {}
+
+    def add(self, segment: int, score: float, low: int, high: int, runs: tuple[int, int]) -> None:
+        self.score, self.low, self.high = max(self.score, score), min(self.low, low), max(self.high, high)
+        self.passages += 1
+        self.parts[segment] = max(self.parts.get(segment, (0, 0)), runs, key=sum)
+
+    def shares(self, runs_of: tuple[int, int]) -> tuple[float, float]:
+        """Shares of the item's question and answer runs that are there; an item of one word is all question."""
+        have = [sum(p[k] for p in self.parts.values()) for k in (0, 1)]
+        return tuple(h / n if n else 1.0 for h, n in zip(have, runs_of))
+
+
+def found_in(words: np.ndarray, index: Index, threshold: float) -> dict[int, _Found]:
+    """Item number -> what a document's words hold of the item, for all items with a retrieved segment."""
+    found: dict[int, _Found] = {}
+    held: tuple[int, dict[int, np.ndarray]] = (-1, {})
+    for segment, score, passage in index.search(words, threshold):
+        low, high = passage * index.segment, min(len(words), (passage + 2) * index.segment)
+        if held[0] != passage:
+            held = (passage, {})
+        runs = []
+        for size, part in (index.question[segment], index.answer[segment]):
+            if size not in held[1]:
+                held[1][size] = _runs(words[low:high], size)
+            runs.append(int(np.isin(part, held[1][size]).sum()))
+        found.setdefault(index.item_of[segment], _Found()).add(segment, score, low, high, tuple(runs))
+    return found
 
 
 def _leak_batches(batches: Iterator[pa.RecordBatch], index, threshold: float, question_share: float,
@@ -195,20 +278,11 @@ def _leak_batches(batches: Iterator[pa.RecordBatch], index, threshold: float, qu
         for first, data, offsets in pieces(batch.column("text")):
             words, bounds = word_hashes(data, offsets, PUNCTUATION)
             for k in range(len(offsets) - 1):
-                own = words[bounds[k]:bounds[k + 1]]
-                best: dict[int, list] = {}
-                for segment, score, passage in index.search(own, threshold):
-                    lo, hi = passage * index.segment, min(len(own), (passage + 2) * index.segment)
-                    have = _runs(own[lo:hi])
-                    question, answer = _share(index.question[segment], have), _share(index.answer[segment], have)
-                    if question < question_share or answer < answer_share:
-                        continue
-                    item = index.item_ids[segment]
-                    b = best.setdefault(item, [0.0, 0.0, 0.0, lo, hi, 0])
-                    if score > b[0]:
-                        b[:3] = [score, question, answer]
-                    b[3:] = [min(b[3], lo), max(b[4], hi), b[5] + 1]
-                rows += [(ids[first + k].as_py(), keys[first + k].as_py(), item, *b) for item, b in best.items()]
+                for item, f in found_in(words[bounds[k]:bounds[k + 1]], index, threshold).items():
+                    question, answer = f.shares(index.runs_of[item])
+                    if question >= question_share and answer >= answer_share:
+                        rows.append((ids[first + k].as_py(), keys[first + k].as_py(), index.item_ids[item], f.score, question,
+                                     answer, f.low, f.high, f.passages))
         columns = list(zip(*rows)) if rows else [()] * len(names)
         kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.float64()] * 3, *[pa.int64()] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -219,18 +293,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
           answer_share: float = ANSWER_SHARE) -> DataFrame:
     """A row for each document and item found in it, with score, overlaps and the span of passages in words."""
     spark = docs.sparkSession
-    tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    n, total = tests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    slices = max(1, -(-total // (6 * SLICE_WORDS)))
+    tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    tests = durable(tests.where("text is not null").distinct(), "benchmark-items")
+    n = tests.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     term_rows = tests.mapInArrow(_term_batches, "item_id long, term long, words long")
     counted = term_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     mean = term_rows.select("item_id", "words").distinct().agg(F.avg(F.least("words", F.lit(SEGMENT)))).first()[0] or 1.0
     found = None
-    for s in range(slices):
-        here = tests if slices == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s)
-        texts = [tuple(r) for r in here.orderBy("item_id", "text").collect()]  # at most about SLICE_WORDS words
+    for here in item_slices(tests, SLICE_BYTES):
+        texts = [tuple(r) for r in here.orderBy("item_id", "text").collect()]  # one slice's texts
         terms = (here.mapInArrow(_term_batches, "item_id long, term long, words long").select("term").distinct()
                  .join(counted, "term").collect())
         df = {int(np.int64(r[0]).view(np.uint64)): r[1] for r in terms}
@@ -238,10 +311,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         part = rows.mapInArrow(
             partial(_leak_batches, index=index, threshold=threshold, question_share=question_share,
                     answer_share=answer_share),
-            "doc_id long, text_key binary, item_id long, score double, question_overlap double, answer_overlap double, "
-            "first_word long, last_word long, passages long")
+            LEAK_ROWS)
         found = part if found is None else found.unionByName(part)
-    return found
+    return spark.createDataFrame([], LEAK_ROWS) if found is None else found
 
 
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

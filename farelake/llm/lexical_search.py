@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from farelake.llm.common import table
+from farelake.llm.common import item_slices, table
 from farelake.session import durable
 
 TOP = 10
@@ -151,21 +151,6 @@ def _score_batches(batches: Iterator[pa.RecordBatch], scanner, weights, document
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item", "doc_id", "score"])
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
-    """Distinct items in parts of at most ``slice_bytes``, or of one item each where that is longer."""
-    sized = items.select("item_id", "text", F.octet_length("text").alias("n"), F.xxhash64("item_id", "text").alias("place"))
-    n = 1
-    while True:
-        part = F.pmod("place", F.lit(n))
-        over = sized.groupBy(part).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-        if over.where((F.col("n") > slice_bytes) & (F.col("rows") > 1)).isEmpty():
-            break
-        n *= 2
-    kept = sized.select("item_id", "text", F.pmod("place", F.lit(n)).alias("part"))
-    parts = [r[0] for r in kept.select("part").distinct().orderBy("part").collect()]  # at most one number per pass
-    return [kept.where(F.col("part") == p).select("item_id", "text") for p in parts]
-
-
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
            item_text: str = "text", top: int = TOP, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """item_id, item_text, rank, doc_id and score of each item's ``top`` best documents."""
@@ -174,7 +159,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     asked = durable(asked.where("text is not null").distinct(), "search-items")
     found = spark.createDataFrame([], "item_id long, item_text string, rank int, doc_id long, score long")
-    for part in _slices(asked, slice_bytes):
+    for part in item_slices(asked, slice_bytes):
         texts = [tuple(r) for r in part.orderBy("item_id", "text").collect()]  # one slice's texts
         scanner = Scanner(texts)
         if not scanner.terms:

@@ -1,6 +1,7 @@
 """Near copies, repeated strings and benchmark leaks against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -193,3 +194,59 @@ def test_no_rows(spark, none):
     assert near_dedup.drop_near_copies(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert decontaminate.leaks(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def made_items(n: int):
+    """Items of 5 to 200 words whose last sentence, the answer, has 1 to 12 words."""
+    r = random.Random(77)
+    out = []
+    for k in range(n):
+        size, answer = r.randrange(5, 201), r.randrange(1, 13)
+        words = prose(5000 + k, size).split()
+        answer = min(answer, size // 2)
+        out.append((k, " ".join(words[:size - answer]) + r.choice(["? ", ". ", "?\n"]) + " ".join(words[size - answer:]) + r.choice([".", ""])))
+    return out
+
+
+def test_whole_copies_are_found(spark):
+    items = made_items(150)
+    r = random.Random(5)
+    texts = []
+    for k, (_, text) in enumerate(items):
+        alone = k % 3 == 0
+        texts.append(text.upper() if alone else f"{prose(9000 + k, r.randrange(0, 200))} {text} {prose(9500 + k, r.randrange(0, 90))}")
+    clean = [prose(20_000 + k, 150) for k in range(30)]
+    docs = spark.createDataFrame(rows_of(texts + clean), SCHEMA)
+    found = decontaminate.leaks(docs, spark.createDataFrame(items + items[:20], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(k, k) for k in range(150)}
+
+
+def test_question_and_answer_are_both_needed(spark):
+    items = [(1, prose(61, 20) + "? yes."), (2, prose(62, 20) + ". " + prose(63, 12) + "."), (3, prose(64, 150) + ". " + prose(65, 20) + "."),
+             (4, "Why stone? Because."), (5, "word")]
+    texts = [prose(61, 20) + " no", prose(61, 20) + " yes", prose(62, 20), prose(62, 20) + " " + prose(63, 12), prose(64, 150),
+             prose(64, 150) + " " + prose(65, 20), "why stone because", "because stone why"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1), (3, 2), (5, 3), (6, 4)}
+
+
+def test_slices_of_items_give_the_same_rows(spark, monkeypatch):
+    items = spark.createDataFrame(made_items(40), "item_id long, text string")
+    docs = spark.createDataFrame(rows_of([t for _, t in made_items(40)]), SCHEMA)
+    whole = {tuple(r) for r in decontaminate.leaks(docs, items).drop("text_key").collect()}
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 4000)
+    assert {tuple(r) for r in decontaminate.leaks(docs, items).drop("text_key").collect()} == whole and len(whole) >= 40
+
+
+def test_leaks_of_a_very_long_text():
+    items = [(k, " ".join(f"{w}{k % 97}" for w in text.split())) for k, text in made_items(300)]
+    df = Counter(int(w) for _, t in items for w in np.unique(decontaminate.words_of(t)))
+    index = decontaminate.Index(items, df, len(items), 40.0)
+    words = np.concatenate([np.random.default_rng(1).choice(np.concatenate([index.terms, np.arange(400_000, dtype=np.uint64)]), 10**6),
+                            decontaminate.words_of(items[7][1])])
+    tracemalloc.start()
+    found = decontaminate.found_in(words, index, decontaminate.THRESHOLD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in found and peak < 200e6
