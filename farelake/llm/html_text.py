@@ -41,8 +41,11 @@ GROUP_BYTES = 4 << 20
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, drawn: int = DRAWN, seed: int = 7) -> Labeller:
     """A labeller from a bounded sample of pages; the same one for the same rows."""
     html = F.col(f"`{html_col}`").cast("string")
-    short = pages.select(html.alias("html")).where(F.octet_length("html") <= SAMPLE_BYTES)
-    chosen = short.orderBy(F.xxhash64("html"), "html").limit(sample).collect()  # at most 300 x 32 KB
+    short = pages.select(html.alias("html")).where(F.octet_length("html") <= SAMPLE_BYTES).withColumn("place", F.xxhash64("html"))
+    # The hashes are ranked alone; only then do the pages they name come to the driver, each once.
+    last = short.select("place").distinct().orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    chosen = (short.where(F.col("place") <= F.lit(last)).groupBy("place").agg(F.min("html").alias("html"))
+              .orderBy("place").collect()) if last is not None else []  # at most 300 x 32 KB
     real = [b for b in (blocks_of(r.html) for r in chosen) if b]
     prose = [b.text for blocks in real for b in blocks]
     labelled = [(blocks, labels) for blocks, labels in ((b, marked_up(b)) for b in real) if labels is not None]
