@@ -179,6 +179,28 @@ query("scd2_drivers", "driver_changes", sql=f"with {DRIVER_VERSIONS}\nselect * f
     lambda wh: dimensions.scd2_drivers(wh["driver_changes"]))
 
 
+def sparse_sql(log: str, key: str, attributes: dict[str, str]) -> str:
+    """Versions with every attribute: each attribute's last setting up to a time; '~' stands for a setting to NULL."""
+    set_to = ", ".join(f"max(case when attribute = '{a}' then v end) as {a}" for a in attributes)
+    last = ", ".join(f"last_value({a} ignore nulls) over w as {a}" for a in attributes)
+    typed = ", ".join(f"try_cast(nullif({a}, '~') as {'varchar' if t == 'string' else t}) as {a}" for a, t in attributes.items())
+    return f"""
+named as (select {key}, changed_at, attribute, coalesce(value, '~') as v,
+                 row_number() over (partition by {key}, changed_at, attribute order by change_seq desc) as rn
+          from {log}),
+set_at as (select {key}, changed_at, {set_to} from named where rn = 1 group by {key}, changed_at),
+filled as (select {key}, changed_at, {last} from set_at window w as (partition by {key} order by changed_at)),
+typed as (select {key}, changed_at, {typed} from filled),
+{versions_sql('typed', key, 'changed_at', list(attributes))}"""
+
+
+for _name, _log, _key, _table, _build in (
+        ("scd2_driver_attributes", "driver_attributes", "driver_id", "dim_drivers", dimensions.driver_histories),
+        ("scd2_rider_attributes", "rider_attributes", "rider_id", "dim_riders", dimensions.rider_histories)):
+    query(_name, _log, sql=f"with {sparse_sql(_log, _key, dimensions.version_attributes(_table, _key))}\nselect * from versions")(
+        lambda wh, build=_build, log=_log: build(wh[log]))
+
+
 def scd2_late_changes(wh):
     """A first load without the late changes, then a merge of them; equals one full build."""
     log = wh["rider_changes"]

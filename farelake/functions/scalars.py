@@ -71,13 +71,14 @@ def password_digest(password: str | Column, salt: str | Column) -> Column:
 def is_json_document(text: str | Column) -> Column:
     """True for a JSON object or array, NULL for NULL (a check passes NULL).
 
-    Spark's reader stops at the end of a document. Text after it is found by
-    putting the document into a larger one, whose next field is then not seen.
+    Spark's reader stops at the end of a document. The text is therefore put
+    into an array with a mark behind it: the mark is the second element only where
+    the text is one whole document. The mark is a hash of the text, which the text cannot hold.
     """
     value = col_of(text)
-    opened = F.substring(F.ltrim(value), 1, 1).isin("{", "[")
-    inside = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit(',"_end":1}')), "$._end")
-    return F.when(value.isNotNull(), opened & F.get_json_object(value, "$").isNotNull() & inside.isNotNull())
+    mark = F.xxhash64(value).cast("string")
+    behind = F.get_json_object(F.concat(F.lit("["), value, F.lit(',"'), mark, F.lit('"]')), "$[1]")
+    return F.when(value.isNotNull(), F.substring(F.ltrim(value), 1, 1).isin("{", "[") & F.coalesce(behind == mark, F.lit(False)))
 
 
 def default_to(value: str | Column, fallback) -> Column:

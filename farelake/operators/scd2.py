@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelake.functions.scalars import OPEN_END
-from farelake.operators.joins import join_spreading_nulls
 from farelake.operators.keys import highest, number_rows
-from farelake.operators.latest import latest_per_key
-from farelake.operators.neighbours import add_chunk, with_neighbour_chunked
+from farelake.operators.neighbours import CHUNK, add_chunk
 
 START, END, CURRENT = "effective_start_date", "effective_end_date", "is_current"
 
@@ -25,31 +23,77 @@ def unversioned_changes(changes: DataFrame, key: str, changed_at: str) -> DataFr
 
 
 def build_versions(changes: DataFrame, key: str, changed_at: str, sequence: Sequence[str],
-                   tracked: Sequence[str], chunk: str = "day") -> DataFrame:
+                   tracked: Sequence[str], chunk: str = "month") -> DataFrame:
     """Versions from a feed of attribute values.
 
     Values with the same key and time are reduced to the last by ``sequence``.
     A new version starts when a tracked attribute differs from the value
-    before it, NULL included. The last version's end is open. All keys are
-    worked off in time chunks. Changes without a key or time are left to
-    ``unversioned_changes``.
+    before it, NULL included. The last version's end is open. Changes without a key
+    or time are left to ``unversioned_changes``.
+
+    Rows are dealt out once, by key and time chunk, so no key's history is one
+    task. Inside a chunk neighbours are windows; a table of one row per key
+    and chunk says whether the chunk's first row is a change, and when the next change after the chunk is.
     """
     usable = changes.where(F.col(key).isNotNull() & F.col(changed_at).isNotNull())
-    feed = usable.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked)
-    rows = add_chunk(latest_per_key(feed, [key, START], sequence).select(key, START, *tracked), START, chunk)
-    before = with_neighbour_chunked(rows, key, START, tracked, "previous", "_before")
-    changed = F.col("_before").isNull() | ~F.struct(*tracked).eqNullSafe(F.col("_before"))
-    after = with_neighbour_chunked(before.where(changed).drop("_before"), key, START, [START], "next", "_after")
-    return after.select(
-        key, *tracked, START,
-        F.coalesce(F.col(f"_after.{START}"), open_end()).alias(END),
-        F.col("_after").isNull().alias(CURRENT),
-    )
+    feed = add_chunk(usable.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, *tracked), START, chunk)
+    picked = F.max_by(F.struct(*tracked), F.struct(*sequence)).alias("_value")
+    return _stretches(feed.repartition(F.col(key), F.col(CHUNK)).groupBy(key, CHUNK, START).agg(picked), key, tracked)
+
+
+def _stretches(rows: DataFrame, key: str, tracked: Sequence[str]) -> DataFrame:
+    """Versions from rows of one ``_value`` per key and start, which are dealt out by key and chunk already."""
+    inside = Window.partitionBy(key, CHUNK).orderBy(START)
+    rows = rows.withColumns({"_before": F.lag("_value").over(inside), "_nth": F.row_number().over(inside)})
+    changed = (F.col("_nth") > 1) & ~F.col("_value").eqNullSafe(F.col("_before"))
+    rows = rows.withColumn("_changed", changed)
+    over = Window.partitionBy(key).orderBy(CHUNK)
+    edges = rows.groupBy(key, CHUNK).agg(
+        F.min_by("_value", START).alias("_first"), F.max_by("_value", START).alias("_last"), F.min(START).alias("_begin"),
+        F.min(F.when(F.col("_changed"), F.col(START))).alias("_inner"))
+    edges = edges.withColumn("_opens", F.lag("_last").over(over).isNull() | ~F.col("_first").eqNullSafe(F.lag("_last").over(over)))
+    starts = F.when(F.col("_opens"), F.col("_begin")).otherwise(F.col("_inner"))
+    later = Window.partitionBy(key).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(key, CHUNK, "_opens", F.last(starts, ignorenulls=True).over(later).alias("_later"))
+    kept = rows.join(edges, [key, CHUNK]).where(F.col("_changed") | ((F.col("_nth") == 1) & F.col("_opens")))
+    after = F.coalesce(F.lead(START).over(inside), F.col("_later"))
+    return (kept.select(key, CHUNK, START, "_value", after.alias("_after"))
+            .select(key, *[F.col(f"_value.{c}").alias(c) for c in tracked], START, F.coalesce("_after", open_end()).alias(END),
+                    F.col("_after").isNull().alias(CURRENT)))
+
+
+def build_sparse_versions(log: DataFrame, key: str, changed_at: str, sequence: Sequence[str],
+                          attributes: Mapping[str, str], chunk: str = "month") -> DataFrame:
+    """Versions of all ``attributes`` (name -> type) from a log of changes of single attributes.
+
+    A row of ``log`` sets one ``attribute`` to the text ``value``, NULL included; of several for
+    one key, time and attribute the last by ``sequence`` holds. Every version
+    carries each attribute's last value up to its start: inside a chunk by a window, from the chunks before
+    by a table of one row per key and chunk. Attributes never set are NULL, so is a value that its
+    type cannot hold. Rows without a key or time (``unversioned_changes``) and of other attributes make no version.
+    """
+    usable = log.where(F.col(key).isNotNull() & F.col(changed_at).isNotNull() & F.col("attribute").isin(*attributes))
+    feed = add_chunk(usable.select(key, F.col(changed_at).cast("timestamp_ntz").alias(START), *sequence, "attribute", "value"),
+                     START, chunk)
+    # A set attribute is a struct, so that setting it to NULL differs from leaving it alone.
+    order = F.struct(*sequence)
+    sets = [F.max_by(F.when(F.col("attribute") == a, F.struct("value")), F.when(F.col("attribute") == a, order)).alias(a)
+            for a in attributes]
+    rows = feed.repartition(F.col(key), F.col(CHUNK)).groupBy(key, CHUNK, START).agg(*sets)
+    until = Window.partitionBy(key, CHUNK).orderBy(START).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select(key, CHUNK, START, F.struct(*[F.last(a, ignorenulls=True).over(until).alias(a) for a in attributes]).alias("_own"))
+    ends = rows.groupBy(key, CHUNK).agg(*[F.max_by(a, F.when(F.col(a).isNotNull(), F.col(START))).alias(a) for a in attributes])
+    carried = ends.select(key, CHUNK, F.struct(*[F.last(a, ignorenulls=True).over(before).alias(a) for a in attributes]).alias("_carried"))
+    value = F.struct(*[F.coalesce(f"_own.{a}.value", F.when(F.col(f"_own.{a}").isNull(), F.col(f"_carried.{a}.value")))
+                       .try_cast(kind).alias(a) for a, kind in attributes.items()])
+    filled = own.join(carried, [key, CHUNK]).select(key, CHUNK, START, value.alias("_value"))
+    return _stretches(filled, key, list(attributes))
 
 
 def merge_versions(dimension: DataFrame, log: DataFrame, touched: DataFrame, key: str, surrogate: str,
                    changed_at: str, sequence: Sequence[str], tracked: Sequence[str],
-                   chunk: str = "day") -> DataFrame:
+                   chunk: str = "month") -> DataFrame:
     """Bring a versioned dimension up to date after new or late changes.
 
     ``log`` is the whole change log, ``touched`` the keys with new entries.
@@ -84,16 +128,32 @@ def with_version_keys(versions: DataFrame, key: str, surrogate: str) -> DataFram
     return number_rows(with_version_id(versions, key), VERSION, surrogate).drop(VERSION)
 
 
-def join_version(facts: DataFrame, versions: DataFrame, key: str, surrogate: str, at: Column,
-                 unknown: int, spread_by: str) -> DataFrame:
-    """Add the surrogate key of the version valid at ``at`` (start included, end not).
+def join_version(facts: DataFrame, versions: DataFrame, key: str, surrogate: str, at: Column, unknown: int,
+                 chunk: str = "month") -> DataFrame:
+    """Add the surrogate key of the version valid at ``at`` (start included, end not), ``unknown`` without one.
 
-    An equi join on the business key with the interval as extra condition. A
-    fact without a match gets ``unknown``.
+    An as-of join in linear time: versions and facts of a key and time chunk
+    are brought into one order, and each fact takes the last version before it.
+    A chunk's first facts take the version carried over from the chunks
+    before, which a table of one row per key and chunk holds. So neither a key with very many
+    versions nor one with a third of all facts is one task or a set of pairs.
+    Facts without a key or a time are not shuffled. Of versions that overlap the later one holds.
     """
-    side = versions.select(F.col(key).alias("_key"), F.col(START).alias("_from"), F.col(END).alias("_to"),
-                           F.col(surrogate).alias("_sk"))
-    valid = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    joined = join_spreading_nulls(facts.withColumn("_at", at), side, key, "_key", spread_by, valid)
-    return (joined.withColumn(surrogate, F.coalesce("_sk", F.lit(unknown).cast("bigint")))
-            .drop("_from", "_to", "_sk", "_at"))
+    usable = F.col(key).isNotNull() & at.isNotNull()
+    known = versions.where(F.col(key).isNotNull() & F.col(START).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(START).alias("_at"), F.struct(F.col(surrogate).alias("sk"), F.col(END).alias("to")).alias("_version"))
+    asked = facts.where(usable).select(F.col(key).alias("_key"), at.cast("timestamp_ntz").alias("_at"), F.struct("*").alias("_fact"))
+    both = add_chunk(known.unionByName(asked, allowMissingColumns=True), "_at", chunk)
+    order = [F.col("_at"), F.col("_fact").isNotNull()]
+    until = Window.partitionBy("_key", CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("_own", F.last("_version", ignorenulls=True).over(until)).where(F.col("_fact").isNotNull())
+    marks = add_chunk(known, "_at", chunk).select("_key", CHUNK, "_at", "_version").unionByName(
+        add_chunk(asked, "_at", chunk).select("_key", CHUNK), allowMissingColumns=True)
+    before = Window.partitionBy("_key").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    edges = (marks.groupBy("_key", CHUNK).agg(F.max_by("_version", "_at").alias("_last"))
+             .select("_key", CHUNK, F.last("_last", ignorenulls=True).over(before).alias("_carried")))
+    found = placed.join(edges, ["_key", CHUNK], "left").withColumn("_is", F.coalesce("_own", "_carried"))
+    missing = F.lit(unknown).cast("bigint")
+    sk = F.when(F.col("_at") < F.col("_is.to"), F.col("_is.sk"))
+    return (found.select("_fact.*", F.coalesce(sk, missing).alias(surrogate))
+            .unionByName(facts.where(~usable).withColumn(surrogate, missing)))

@@ -8,7 +8,8 @@ from farelake.functions.calendar import calendar_columns
 from farelake.functions.scalars import location_key
 from farelake.operators.latest import latest_per_key
 from farelake.operators.keys import highest, number_rows
-from farelake.operators.scd2 import build_versions
+from farelake.operators.scd2 import CURRENT, END, START, build_sparse_versions, build_versions
+from farelake.schemas import columns_of
 
 RIDER_TRACKED = ["loyalty_tier"]
 DRIVER_TRACKED = ["driver_status", "vehicle_type"]
@@ -22,6 +23,22 @@ def scd2_drivers(changes: DataFrame, tracked=DRIVER_TRACKED, sequence=("change_s
     return build_versions(changes, "driver_id", "changed_at", list(sequence), list(tracked))
 
 
+def version_attributes(table: str, key: str) -> dict[str, str]:
+    """The attributes of a versioned dimension, with their types: all columns but keys and load times."""
+    fixed = {key, key.replace("_id", "_sk"), START, END, CURRENT, "created_at", "updated_at"}
+    return {name: kind.lower() for name, kind in columns_of(table) if name not in fixed}
+
+
+def driver_histories(log: DataFrame, sequence=("change_seq",)) -> DataFrame:
+    """Driver versions with every attribute, from a log of single changes."""
+    return build_sparse_versions(log, "driver_id", "changed_at", list(sequence), version_attributes("dim_drivers", "driver_id"))
+
+
+def rider_histories(log: DataFrame, sequence=("change_seq",)) -> DataFrame:
+    """Rider versions with every attribute, from a log of single changes."""
+    return build_sparse_versions(log, "rider_id", "changed_at", list(sequence), version_attributes("dim_riders", "rider_id"))
+
+
 def load_locations(staging: DataFrame) -> DataFrame:
     """Distinct pickup and dropoff places with their key hash.
 

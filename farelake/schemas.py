@@ -7,6 +7,8 @@ columns, which Parquet does not enforce, are in ``TEXT_LIMITS`` and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql.types import StructType
 
 # Table and column names and types of the data model.
@@ -165,6 +167,11 @@ ACCEPTED = {
 }
 
 
+def columns_of(table: str) -> list[tuple[str, str]]:
+    """(name, type) of a table's columns, without a session."""
+    return re.findall(r"(\w+) ([A-Z_]+(?:\(\d+,\d+\))?)", TABLES[table])
+
+
 def schema_of(table: str) -> StructType:
     """The explicit read schema of a table."""
     return StructType.fromDDL(" ".join(TABLES[table].split()))

@@ -72,7 +72,55 @@ _LAST_DAY = "timestamp '9999-12-31 00:00:00'"
 _DRIVER_CHANGE = "timestamp '1999-01-01 00:00:00'"
 _RIDER_CHANGE = "timestamp '1998-01-01 00:00:00'"
 
+def _log(key: str, at: str, seq: str, attributes: dict[str, str], table: str, keep: str = "true") -> str:
+    """Rows (key, changed_at, change_seq, attribute, value) that set each attribute to the text of its expression."""
+    return "\n    union all\n".join(
+        f"    select cast({key} as int) as {{id}}, {at} as changed_at, {seq} as change_seq, '{name}' as attribute,\n"
+        f"           cast({value} as varchar(60)) as value from {{{{{table}}}}} where {keep}" for name, value in attributes.items())
+
+
+_DRIVER_START = {
+    "driver_license": "'L' || cast(s_suppkey as varchar(20))", "first_name": "s_name", "last_name": "'D' || cast(s_suppkey % 97 as varchar(9))",
+    "email": "lower(s_name) || '@x.io'", "phone": "'555' || cast(s_suppkey as varchar(20))",
+    "date_of_birth": "date '1960-01-01' + cast(s_suppkey % 9000 as int)", "driver_rating": "cast(3 + (s_suppkey % 21) * 0.1 as decimal(3,2))",
+    "total_trips": "s_suppkey * 7 % 500", "vehicle_make": "'M' || cast(s_suppkey % 11 as varchar(9))",
+    "vehicle_model": "'T' || cast(s_suppkey % 13 as varchar(9))", "vehicle_year": "1990 + s_suppkey % 9",
+    "vehicle_license_plate": "'P' || cast(s_suppkey as varchar(20))", "vehicle_type": "'economy'", "driver_status": "'active'",
+    "city_code": "'C' || cast(s_nationkey as varchar(9))", "registration_date": "date '1991-06-01'",
+}
+_RIDER_START = {
+    "first_name": "c_mktsegment", "last_name": "c_name", "email": "lower(c_name) || '@x.io'", "phone": "'556' || cast(c_custkey as varchar(20))",
+    "date_of_birth": "date '1955-01-01' + cast(c_custkey % 15000 as int)", "rider_rating": "cast(4 + (c_custkey % 10) * 0.1 as decimal(3,2))",
+    "total_trips": "c_custkey % 300", "loyalty_tier": "'bronze'", "preferred_payment_method": "'cash'", "rider_status": "'active'",
+    "signup_date": "date '1991-07-01'", "city_code": "'C' || cast(c_nationkey as varchar(9))",
+}
+# Later changes: of one attribute a line or order, some to NULL, some that the attribute's type cannot hold.
+_DRIVER_LATER = {
+    "driver_status": ("case l_returnflag when 'A' then 'active' when 'N' then 'inactive' else 'suspended' end", "l_partkey % 4 = 0"),
+    "vehicle_type": ("case when l_linestatus = 'F' then 'economy' else null end", "l_partkey % 4 = 1"),
+    "driver_rating": ("case when l_partkey % 40 = 2 then 'none' else cast(cast(3 + l_discount * 10 as decimal(3,2)) as varchar(9)) end",
+                      "l_partkey % 4 = 2"),
+    "phone": ("'557' || cast(l_partkey % 5 as varchar(9))", "l_partkey % 8 = 3"),
+    "vehicle_make": ("'M' || cast(l_partkey % 3 as varchar(9))", "l_partkey % 8 = 7"),
+}
+_RIDER_LATER = {
+    "loyalty_tier": ("case when o_totalprice < 100000 then 'bronze' when o_totalprice < 250000 then 'silver' else 'gold' end", "o_orderkey % 3 = 0"),
+    "preferred_payment_method": ("case when o_orderkey % 5 = 0 then null else 'credit_card' end", "o_orderkey % 3 = 1"),
+    "rider_rating": ("cast(cast(3 + o_orderkey % 20 * 0.1 as decimal(3,2)) as varchar(9))", "o_orderkey % 3 = 2"),
+}
+
+
+def _history(key: str, start_key: str, first: dict, start_table: str, later_key: str, at: str, seq: str, later: dict, table: str) -> str:
+    parts = [_log(start_key, "timestamp '1991-08-01 00:00:00'", "cast(0 as bigint)", first, start_table)]
+    parts += [_log(later_key, at, seq, {name: value}, table, keep) for name, (value, keep) in later.items()]
+    return "\n    union all\n".join(parts).replace("{id}", key).replace("{{", "{").replace("}}", "}")
+
+
 MAPPINGS = {
+    "driver_attributes": _history("driver_id", "s_suppkey", _DRIVER_START, "supplier", "l_suppkey", "l_shipdate",
+                                  "l_orderkey * 10 + l_linenumber", _DRIVER_LATER, "lineitem"),
+    "rider_attributes": _history("rider_id", "c_custkey", _RIDER_START, "customer", "o_custkey", "o_orderdate", "o_orderkey",
+                                 _RIDER_LATER, "orders"),
     "dim_drivers": "\n    union all\n".join((
         _DRIVER.format(v=1, keep="true", start=_FIRST_DAY, current="s_suppkey % 3 <> 0",
                        end=f"case when s_suppkey % 3 = 0 then {_DRIVER_CHANGE} else {_LAST_DAY} end"),
@@ -330,7 +378,8 @@ def depends_on(name: str) -> list[str]:
 
 # Tables a warehouse keeps on disk. They are written once per session and folder, so that a
 # query meets a stored fact table, with pushed-down filters, and not the mapping's join.
-STORED = ("fact_trips", "fact_driver_daily", "staging_raw_trips", "driver_changes", "rider_changes", "raw_payments")
+STORED = ("fact_trips", "fact_driver_daily", "staging_raw_trips", "driver_changes", "rider_changes", "raw_payments",
+          "driver_attributes", "rider_attributes")
 _stored_paths: dict[tuple[str, str, str], str] = {}
 
 
@@ -365,7 +414,7 @@ class SampleWarehouse(dict):
         key = (context.applicationId, self.sf_dir, name)
         if key not in _stored_paths:
             source = SampleWarehouse(self.spark, self.sf_dir)
-            for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+            for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")):
                 source[table] = self[table].repartition(context.defaultParallelism, column)
             path = scratch_dir(self.spark, f"sample-{name}")
             source._mapped(name).write.parquet(path)

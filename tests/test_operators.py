@@ -90,7 +90,7 @@ def test_version_join_takes_start_and_leaves_end(spark):
                               "k int, sk bigint, effective_start_date timestamp_ntz, effective_end_date timestamp_ntz")
     f = spark.createDataFrame([("a", 1, TS(2024, 1, 1)), ("b", 1, TS(2024, 2, 1)), ("c", 1, TS(2023, 1, 1)),
                                ("d", None, TS(2024, 1, 1)), ("e", 2, TS(2024, 1, 1))], "id string, k int, at timestamp_ntz")
-    got = {r.id: r.sk for r in join_version(f, v, "k", "sk", F.col("at"), -1, "id").collect()}
+    got = {r.id: r.sk for r in join_version(f, v, "k", "sk", F.col("at"), -1).collect()}
     assert got == {"a": 10, "b": 11, "c": -1, "d": -1, "e": -1}
 
 
