@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from farelake.catalog.trips import DAILY_REVENUE
 from farelake.functions.scalars import location_key
-from farelake.operators import masking, policies, quality, retention
+from farelake.operators import constraints, masking, policies, quality, retention
 from farelake.operators.keys import assign_surrogate_keys
 from farelake.operators.scd2 import merge_versions, with_version_keys
 from farelake.plans import dimensions, facts, monitoring, views
 from farelake.registry import EVENT_CLOCK, TRIP_CLOCK, query
-from farelake.schemas import ACCEPTED
+from farelake.schemas import ACCEPTED, FOREIGN_KEYS, RANGES, REQUIRED, TEXT_LIMITS, UNIQUE
 from farelake.session import durable, scratch_dir
 from farelake.sources.tables import write_table
 
@@ -132,6 +132,70 @@ query("quality_report", "dim_drivers", "dim_riders", "raw_payments", "fact_trips
           _fk_sql("fact_trips", "dropoff_location_sk", "dim_locations", "location_sk"),
           _fk_sql("raw_payments", "trip_id", "fact_trips", "trip_id"))))(quality_report)
 
+# Tables of the constraint check: the declared name and the sample table under it.
+CHECKED_TABLES = {
+    "dim_drivers": "dim_drivers", "dim_riders": "dim_riders", "dim_locations": "dim_locations",
+    "dim_payment_methods": "dim_payment_methods", "dim_trip_status": "dim_trip_status", "fact_trips": "keyed_trips",
+    "fact_payments": "keyed_payments", "fact_driver_daily": "fact_driver_daily", "security_users": "security_users",
+    "user_sessions": "user_sessions", "security_roles": "security_roles", "security_permissions": "security_permissions",
+    "role_permissions": "role_permissions", "user_roles": "user_roles", "user_attributes": "user_attributes",
+    "security_audit_log": "security_audit_log",
+}
+# Keys that the sample tables lack.
+_NO_KEY = {("fact_driver_daily", "driver_daily_sk"), ("role_permissions", "role_permission_sk"), ("user_roles", "user_role_sk"),
+           ("user_attributes", "user_attribute_sk")}
+
+
+def constraint_keys(wh):
+    """All unique keys and references; the time dimension covers the days of pickups."""
+    tables = {name: wh[sample] for name, sample in CHECKED_TABLES.items()}
+    tables["dim_time"] = dimensions.dim_time(dimensions.minutes_of(wh["fact_trips"], "pickup_timestamp"), wh["holidays"])
+    return constraints.key_report(tables)
+
+
+def _key_sql() -> str:
+    lines = []
+    for table, sample in CHECKED_TABLES.items():
+        lines += [f"select '{table}' as table_name, 'unique' as rule, '{'+'.join(key)}' as column_name, "
+                  f"cast(coalesce(sum(n), 0) as bigint) as rows_checked, count(case when n > 1 then 1 end) as failures "
+                  f"from (select count(*) as n from {sample} group by {', '.join(key)}) as c"
+                  for key in UNIQUE[table] if (table, key[0]) not in _NO_KEY]
+    for table, column, parent, key in FOREIGN_KEYS:
+        miss = (f"{column} // 100 % 100 >= 24 or {column} % 100 >= 60 or {column} // 10000 not in (select d from days)"
+                if parent == "dim_time" else f"not exists (select 1 from {CHECKED_TABLES[parent]} p where p.{key} = t.{column})")
+        lines.append(f"select '{table}', 'foreign_key', '{column}', count(*), "
+                     f"count(case when {column} is not null and ({miss}) then 1 end) from {CHECKED_TABLES[table]} t")
+    lines.append("select 'dim_time', 'unique', 'time_sk', count(*) * 1440, 0 from days")
+    return ("with days as (select distinct cast(strftime(pickup_timestamp, '%Y%m%d') as bigint) as d from fact_trips "
+            "where pickup_timestamp is not null)\n" + "\nunion all\n".join(lines))
+
+
+query("constraint_keys", *dict.fromkeys([*CHECKED_TABLES.values(), "fact_trips"]), sql=_key_sql())(constraint_keys)
+
+COLUMN_TABLES = {
+    "security_users": ["user_sk", "user_id", "email", "first_name", "last_name", "user_status", "account_type"],
+    "dim_drivers": ["driver_sk", "driver_id", "first_name", "last_name", "driver_rating", "city_code"],
+    "dim_riders": ["rider_sk", "rider_id", "first_name", "last_name", "loyalty_tier"],
+    "security_audit_log": ["audit_sk", "event_type", "ip_address", "risk_score"],
+    "staging_raw_trips": ["trip_id", "status"],
+}
+
+
+def _column_sql() -> str:
+    lines = []
+    for table, columns in COLUMN_TABLES.items():
+        lines += [_row_sql(table, "not_null", c, f"{c} is null") for c in REQUIRED.get(table, ()) if c in columns]
+        lines += [_row_sql(table, "max_length", c, f"length({c}) > {n}") for c, n in TEXT_LIMITS[table].items() if c in columns]
+        lines += [_row_sql(table, "accepted_values", c, f"lower(rtrim({c})) not in ({', '.join(repr(v) for v in ACCEPTED[c])})")
+                  for c in columns if c in ACCEPTED]
+        lines += [_row_sql(table, "in_range", c, f"not {c} between {low} and {high}")
+                  for c, (low, high) in RANGES.get(table, {}).items() if c in columns]
+    return "\nunion all\n".join(lines)
+
+
+query("constraint_columns", *COLUMN_TABLES, sql=_column_sql())(
+    lambda wh: constraints.row_report({t: wh[t].select(columns) for t, columns in COLUMN_TABLES.items()}))
+
 query("orphan_trips", "fact_trips", "dim_drivers", sql="""
 select t.* from fact_trips t
 where t.driver_sk is not null

@@ -167,6 +167,96 @@ ACCEPTED = {
 }
 
 
+def _limits(text: str) -> dict[str, int]:
+    return {name: int(limit) for name, limit in re.findall(r"(\w+) (\d+)", text)}
+
+
+# Longest text of each column.
+TEXT_LIMITS = {table: _limits(text) for table, text in {
+    "dim_drivers": """driver_license 50, first_name 100, last_name 100, email 255, phone 20, vehicle_make 50, vehicle_model 50,
+        vehicle_license_plate 20, vehicle_type 30, driver_status 20, city_code 10""",
+    "dim_riders": """first_name 100, last_name 100, email 255, phone 20, loyalty_tier 20, preferred_payment_method 30,
+        rider_status 20, city_code 10""",
+    "dim_locations": """location_id 50, address 500, street_name 200, city 100, state 50, country 50, postal_code 20,
+        location_type 30, zone_id 20""",
+    "dim_time": "month_name 20, day_name 20, am_pm 2, holiday_name 100, business_hours 20, rush_hour 20",
+    "dim_payment_methods": "payment_type 30, provider 50",
+    "dim_trip_status": "status_code 20, status_name 50, status_description 200",
+    "fact_trips": "trip_id 50, trip_type 30, special_requests 500",
+    "fact_payments": "payment_id 50, payment_status 20, transaction_id 100",
+    "fact_driver_daily": "city_code 10",
+    "staging_raw_trips": "trip_id 50, status 20",
+    "security_users": """user_id 50, email 255, password_hash 255, salt 100, first_name 100, last_name 100, phone 20, user_status 20,
+        account_type 20, mfa_secret 100, backup_codes 500, created_by 50""",
+    "user_sessions": "session_id 128, device_info 500, ip_address 45, location 100, session_type 20",
+    "security_roles": "role_code 50, role_name 100, role_description 500, created_by 50",
+    "security_permissions": """permission_code 100, permission_name 150, permission_description 500, resource_type 50,
+        resource_name 100, action_type 20""",
+    "role_permissions": "granted_by 50",
+    "user_roles": "assigned_by 50",
+    "user_attributes": "attribute_name 50, attribute_value 200, attribute_type 20",
+    "access_policies": """policy_name 100, policy_description 500, resource_pattern 200, policy_condition 1000, action_type 20,
+        created_by 50""",
+    "security_audit_log": """session_id 128, event_type 50, event_description 1000, resource_accessed 200, action_attempted 50,
+        ip_address 45, user_agent 500""",
+    "failed_login_attempts": "username_attempted 255, ip_address 45, user_agent 500, failure_reason 100",
+    "encryption_keys": "key_id 50, key_type 20, key_purpose 50, key_status 20, created_by 50",
+    "data_classification": "table_name 128, column_name 128, classification_level 20, data_type 50, masking_rule 200",
+}.items()}
+
+# Columns that are never NULL.
+REQUIRED = {table: tuple(text.split()) for table, text in {
+    "dim_drivers": "driver_sk driver_id driver_license", "dim_riders": "rider_sk rider_id", "dim_locations": "location_sk location_id",
+    "dim_time": "time_sk", "dim_payment_methods": "payment_method_sk payment_method_id", "dim_trip_status": "trip_status_sk status_code",
+    "fact_trips": "trip_sk trip_id", "fact_payments": "payment_sk payment_id trip_sk", "fact_driver_daily": "driver_daily_sk driver_sk",
+    "security_users": "user_sk user_id email password_hash salt", "user_sessions": "session_sk session_id user_sk",
+    "security_roles": "role_sk role_code role_name", "security_permissions": "permission_sk permission_code permission_name",
+    "role_permissions": "role_permission_sk role_sk permission_sk", "user_roles": "user_role_sk user_sk role_sk",
+    "user_attributes": "user_attribute_sk user_sk attribute_name attribute_value", "access_policies": "policy_sk policy_name",
+    "security_audit_log": "audit_sk", "failed_login_attempts": "attempt_sk", "encryption_keys": "key_sk key_id",
+    "data_classification": "classification_sk",
+}.items()}
+
+# Keys, the primary key of each table first.
+UNIQUE = {table: tuple(tuple(key.split("+")) for key in text.split()) for table, text in {
+    "dim_drivers": "driver_sk", "dim_riders": "rider_sk", "dim_locations": "location_sk", "dim_time": "time_sk",
+    "dim_payment_methods": "payment_method_sk", "dim_trip_status": "trip_status_sk", "fact_trips": "trip_sk",
+    "fact_payments": "payment_sk", "fact_driver_daily": "driver_daily_sk", "security_users": "user_sk user_id email",
+    "user_sessions": "session_sk session_id", "security_roles": "role_sk role_code", "security_permissions": "permission_sk permission_code",
+    "role_permissions": "role_permission_sk role_sk+permission_sk", "user_roles": "user_role_sk",
+    "user_attributes": "user_attribute_sk", "access_policies": "policy_sk", "security_audit_log": "audit_sk",
+    "failed_login_attempts": "attempt_sk", "encryption_keys": "key_sk key_id", "data_classification": "classification_sk",
+}.items()}
+
+# References (table, column, table referred to, its key).
+FOREIGN_KEYS = (
+    ("fact_trips", "driver_sk", "dim_drivers", "driver_sk"),
+    ("fact_trips", "rider_sk", "dim_riders", "rider_sk"),
+    ("fact_trips", "pickup_location_sk", "dim_locations", "location_sk"),
+    ("fact_trips", "dropoff_location_sk", "dim_locations", "location_sk"),
+    ("fact_trips", "pickup_time_sk", "dim_time", "time_sk"),
+    ("fact_trips", "dropoff_time_sk", "dim_time", "time_sk"),
+    ("fact_trips", "trip_status_sk", "dim_trip_status", "trip_status_sk"),
+    ("fact_payments", "trip_sk", "fact_trips", "trip_sk"),
+    ("fact_payments", "payment_method_sk", "dim_payment_methods", "payment_method_sk"),
+    ("fact_payments", "payment_time_sk", "dim_time", "time_sk"),
+    ("fact_driver_daily", "driver_sk", "dim_drivers", "driver_sk"),
+    ("user_sessions", "user_sk", "security_users", "user_sk"),
+    ("role_permissions", "role_sk", "security_roles", "role_sk"),
+    ("role_permissions", "permission_sk", "security_permissions", "permission_sk"),
+    ("user_roles", "user_sk", "security_users", "user_sk"),
+    ("user_roles", "role_sk", "security_roles", "role_sk"),
+    ("user_attributes", "user_sk", "security_users", "user_sk"),
+    ("security_audit_log", "user_sk", "security_users", "user_sk"),
+)
+
+# Ranges of figures.
+RANGES = {
+    "dim_drivers": {"driver_rating": (0, 5)}, "dim_riders": {"rider_rating": (0, 5)},
+    "fact_trips": {"rider_rating_given": (0, 5), "driver_rating_given": (0, 5)}, "security_audit_log": {"risk_score": (0, 100)},
+}
+
+
 def columns_of(table: str) -> list[tuple[str, str]]:
     """(name, type) of a table's columns, without a session."""
     return re.findall(r"(\w+) ([A-Z_]+(?:\(\d+,\d+\))?)", TABLES[table])

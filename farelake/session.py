@@ -22,10 +22,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # A side is broadcast only when Spark's own size figure is below this.
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    # Parquet files are compressed; count them larger before deciding that a side is small.
-    "spark.sql.sources.fileCompressionFactor": "3.0",
+    "spark.sql.autoBroadcastJoinThreshold": "16MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Parquet files are compressed, calendars and repeated values very much so; count them
+    # larger before deciding that a side is small.
+    "spark.sql.sources.fileCompressionFactor": "8.0",
     # Replace only the partitions a load touches.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -50,6 +50,11 @@ def _longitude(prefix: str, key: str) -> str:
     return f"cast('{prefix}.' || lpad(cast({key} as varchar(20)), 8, '0') as decimal(11,8))"
 
 
+def _minute(ts: str) -> str:
+    return (f"cast(year({ts}) as bigint) * 100000000 + month({ts}) * 1000000 + day({ts}) * 10000 + hour({ts}) * 100 "
+            f"+ minute({ts})")
+
+
 _DRIVER = """
     select s_suppkey * 2 + {v} as driver_sk, cast(s_suppkey as int) as driver_id, s_name as first_name,
            case when s_suppkey % 10 = 7 then null else 'V{v}' end as last_name,
@@ -256,6 +261,18 @@ MAPPINGS = {
     from {orders}
     left join (select l_orderkey, min(l_linenumber) as first_line from {lineitem} group by l_orderkey) as lines
       on o_orderkey = l_orderkey""",
+    # Trips and payments with keys of their own and minute keys, for the constraint check.
+    "keyed_trips": f"""
+    select cast(split_part(trip_id, '-', 1) as bigint) * 10 + cast(split_part(trip_id, '-', 2) as bigint) as trip_sk, trip_id,
+           driver_sk, rider_sk, pickup_location_sk, dropoff_location_sk, trip_status_sk,
+           {_minute('pickup_timestamp')} as pickup_time_sk, {_minute('dropoff_timestamp')} as dropoff_time_sk
+    from {{fact_trips}}""",
+    "keyed_payments": f"""
+    select cast(substr(payment_id, 2) as bigint) as payment_sk, payment_id,
+           cast(split_part(trip_id, '-', 1) as bigint) * 10 + cast(split_part(trip_id, '-', 2) as bigint) as trip_sk,
+           cast(payment_method_id as bigint) as payment_method_sk,
+           {_minute('payment_timestamp')} + case when payment_amount < 2000 then 60 else 0 end as payment_time_sk, payment_status
+    from {{raw_payments}}""",
     "method_updates": """
     select cast(substr(o_orderpriority, 1, 1) as int) as payment_method_id, o_orderkey as update_seq,
            case when o_totalprice < 200000 then 'credit_card' else 'cash' end as payment_type,
