@@ -1,7 +1,9 @@
 """Toxicity: a linear-chain conditional random field over a document's words.
 
 Fitting takes a bounded sample of labelled documents, at most ``SAMPLE`` of either
-label, chosen by hash. Labels are per document, so tokens are labelled first: of the
+label and none above ``SAMPLE_BYTES``, chosen by hash; the chain's few weights are
+fitted on the first ``CHAIN_DOCUMENTS`` of it and at most ``CHAIN_RUNS`` runs of 100 words, the
+lexicon and the calibration on all. Labels are per document, so tokens are labelled first: of the
 word forms (the word and its first 3 to 6 letters) those that occur in toxic
 documents far more often than in others make a lexicon; a token of a toxic
 document with such a form is labelled toxic, all others are not. A two-state chain
@@ -17,7 +19,8 @@ logistic function fitted on the same sample.
 
 Defined results: a NULL, empty or wordless text has no spans and gets the score of
 no evidence. Labels without a document and documents without a label are not
-used for fitting; repeated labels count as toxic if any is. A document with label
+used for fitting; repeated labels count as toxic if any is; of different texts of one id the
+smallest is fitted on. A document with label
 NULL is unlabelled. With no labelled rows, or one label only, nothing is known to
 be toxic and all scores are 0. Other columns are not looked at.
 """
@@ -37,6 +40,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from farelake.llm.common import held_out, table
 
 SAMPLE = 3000
+# Longer texts are scored like all others, but not fitted on.
+SAMPLE_BYTES = 1 << 15
+# Transitions and weights are fitted on the first documents of the sample, and so many runs of their words.
+CHAIN_DOCUMENTS = 1500
+CHAIN_RUNS = 6000
 LEVELS = (1.5, 2.5, 3.5, 5.0)
 # A form counts as evidence from so many toxic documents on, and from this share of them.
 LEAST_DOCS, LEAST_SHARE = 3, 0.01
@@ -119,8 +127,8 @@ class Chain:
         """Character spans, word places and levels of the words with evidence; number of words."""
         spans, places, levels, n = [], [], [], 0
         word_level, seen = self.word_level, self._seen
-        for n, match in enumerate(TOKEN.finditer(text.lower()), 1):
-            word = match.group()
+        for n, match in enumerate(TOKEN.finditer(text), 1):
+            word = match.group().lower()
             known = seen.get(word)
             if known is None:
                 known = word_level(word)
@@ -131,7 +139,7 @@ class Chain:
         return spans, places, levels, n
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, int]]]:
-        """Score and offending character spans of a text (offsets into the lower-cased text)."""
+        """Score and offending character spans of a text (offsets into the text)."""
         spans, places, levels, n = self.evidence(text)
         p = self.marginals(places, levels, n)
         score = 1 / (1 + math.exp(-float(np.clip(self.calibration @ document_features(p, n), -50, 50))))
@@ -203,28 +211,43 @@ def _fit_chain(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 60) ->
     return w, move
 
 
-def fit(sample: list[tuple[str, int]]) -> Chain | None:
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in TOKEN.findall(text)]
+
+
+def fit(sample: list[tuple[str, int]], chain_documents: int = CHAIN_DOCUMENTS, chain_runs: int = CHAIN_RUNS) -> Chain | None:
     """A chain from (text, toxic) documents; None unless both labels occur."""
-    toxic, clean = Counter(), Counter()
     sample = list(dict.fromkeys(sample))  # copies are no evidence of their own
     n_toxic = sum(y for _, y in sample)
     n_clean = len(sample) - n_toxic
     if not n_toxic or not n_clean:
         return None
-    documents = []
-    for text, y in sample:
-        words = TOKEN.findall(text.lower())
-        documents.append((words, y))
-        (toxic if y else clean).update({f for w in set(words) for f in forms(w)})
+    # Words as numbers, so that the sample is held once and small.
+    numbers: dict[str, int] = {}
+    documents = [(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(text)), np.int32), y) for text, y in sample]
+    del sample
+    vocabulary = list(numbers)
+    toxic, clean = Counter(), Counter()
+    for words, y in documents:
+        if y:
+            toxic.update({f for w in np.unique(words).tolist() for f in forms(vocabulary[w])})
+    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
+    frequent = {f for f, c in toxic.items() if c >= least}
+    held = [[f for f in forms(w) if f in frequent] for w in vocabulary]
+    for words, y in documents:
+        if not y:
+            clean.update({f for w in np.unique(words).tolist() for f in held[w]})
     lexicon = {}
-    for f, c in toxic.items():
-        evidence = math.log((c + 0.5) / (n_toxic + 1)) - math.log((clean[f] + 0.5) / (n_clean + 1))
-        if c >= max(LEAST_DOCS, LEAST_SHARE * n_toxic) and evidence >= LEVELS[0]:
+    for f in frequent:
+        evidence = math.log((toxic[f] + 0.5) / (n_toxic + 1)) - math.log((clean[f] + 0.5) / (n_clean + 1))
+        if evidence >= LEVELS[0]:
             lexicon[f] = evidence
+    del toxic, clean, held
     draft = Chain(lexicon, np.zeros(len(LEVELS) + 1), np.zeros((2, 2)), np.zeros(4))
+    level_of = np.array([draft.word_level(w) for w in vocabulary], np.int8)
     chains = []
-    for words, y in documents[:1500]:
-        x = np.array([draft.word_level(w) for w in words], np.int64)
+    for words, y in documents[:chain_documents]:
+        x = level_of[words].astype(np.int64)
         # Chains for fitting are runs of 100 words; strong evidence in a toxic document is a toxic token.
         for start in range(0, len(x), 100):
             part = x[start:start + 100]
@@ -232,13 +255,13 @@ def fit(sample: list[tuple[str, int]]) -> Chain | None:
                 chains.append((part, (part >= 2).astype(np.int64) * y))
     if not chains:
         return None
-    w, move = _fit_chain(chains[:6000])
+    w, move = _fit_chain(chains[:chain_runs])
     chain = Chain(lexicon, w, move, np.zeros(4))
     rows = []
     for words, y in documents:
-        levels = [chain.word_level(x) for x in words]
-        places = [i for i, x in enumerate(levels) if x]
-        rows.append(document_features(chain.marginals(places, [levels[i] for i in places], len(words)), len(words)))
+        levels = level_of[words]
+        places = np.flatnonzero(levels)
+        rows.append(document_features(chain.marginals(places.tolist(), levels[places].tolist(), len(words)), len(words)))
     chain.calibration = _logistic(np.array(rows), np.array([y for _, y in documents], float))
     return chain
 
@@ -246,7 +269,7 @@ def fit(sample: list[tuple[str, int]]) -> Chain | None:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic", sample: int = SAMPLE, training_only: bool = True) -> list[tuple[str, int]]:
     """At most ``sample`` labelled texts of either label, the first by hash of their id, held-out ids left out."""
-    marks = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    marks = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y"))
              .where("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y")))
     if training_only:
         marks = marks.where(~held_out("_id"))
@@ -254,8 +277,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # At most 2 * sample rows of two numbers.
     few = [marks.where(F.col("_y") == y).orderBy(turn, "_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))
-    rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("t"), "_y")
-    return [(r[1] or "", r[2]) for r in rows.dropDuplicates(["_id"]).orderBy(turn, "_id").collect()]
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    rows = (texts.where(F.octet_length("_text") <= SAMPLE_BYTES).join(chosen, "_id")
+            .groupBy("_id", "_y").agg(F.min("_text").alias("_text")))
+    return [(r[0], r[1]) for r in rows.orderBy(turn, "_id").select("_text", "_y").collect()]
 
 
 def _judge_batches(batches: Iterator[pa.RecordBatch], chain, spans: bool) -> Iterator[pa.RecordBatch]:

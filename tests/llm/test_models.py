@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from farelake.llm import quality, toxicity, url_filter
 from tests.llm.conftest import SCHEMA, prose, rows_of
@@ -140,3 +141,21 @@ def test_url_scores_equal_a_plain_model(spark):
         ratios = [math.log(chance("allow", text[i - order:i], text[i]) / chance("block", text[i - order:i], text[i]))
                   for i in range(order, len(text))]
         assert got[k] == pytest.approx(sum(ratios) / len(ratios), abs=1e-6)
+
+
+def test_toxicity_takes_clashing_names_and_repeated_ids(spark, toxic_data):
+    docs, labels = toxic_data[:2]
+    want = {(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(docs, labels).collect()}
+    clash = docs.withColumns({c: F.lit(1) for c in ("_id", "_y", "t", "_text", "_score", "toxic")})
+    marks = labels.withColumns({c: F.lit("x") for c in ("_id", "_y", "t", "_text")})
+    assert {(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(clash, marks).collect()} == want
+    assert set(toxicity.drop_toxic(clash, marks).columns) == set(clash.columns)
+    other = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" zz"))))
+    first, again = (sorted(toxicity.labelled_sample(d, labels)) for d in (other, other.repartition(7)))
+    assert first == again
+
+
+def test_spans_are_offsets_into_the_text():
+    chain = toxicity.Chain({"=vile": 6.0, "vil": 6.0}, np.array([-3.0, 1, 1, 1, 4.0]), np.zeros((2, 2)), np.array([0.0, 1, 0, 0]))
+    text = "İİİ some VILE word"
+    assert [text[a:b] for a, b in chain.judge(text)[1]] == ["VILE"]
