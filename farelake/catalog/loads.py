@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from farelake.catalog.trips import DAILY_REVENUE
@@ -10,6 +12,8 @@ from farelake.operators import constraints, masking, policies, quality, retentio
 from farelake.operators.keys import assign_surrogate_keys
 from farelake.operators.scd2 import merge_versions, with_version_keys
 from farelake.plans import dimensions, facts, monitoring, views
+from farelake.plans.increment import IncrementalLoad
+from farelake.plans.pipeline import place_attributes
 from farelake.registry import EVENT_CLOCK, TRIP_CLOCK, query
 from farelake.schemas import ACCEPTED, FOREIGN_KEYS, RANGES, REQUIRED, TEXT_LIMITS, UNIQUE
 from farelake.session import durable, scratch_dir
@@ -389,6 +393,74 @@ select trip_sk, trip_id, cast(driver_sk as bigint) as driver_sk, cast(rider_sk a
        total_fare, driver_earnings, cast(total_fare - driver_earnings as decimal(10,2)) as company_commission
 from shares""")(fact_trips_load)
 
+# What the second of two loads brings, beside everything after the mark: some changes that come late, some drivers' first data.
+LATE_CHANGE = "change_seq % 7 = 3"
+
+
+def two_sources(wh):
+    """The sources of a first load and the rows that come in after it."""
+    first, rest = ({"dim_trip_status": wh["dim_trip_status"], "dim_payment_methods": wh["dim_payment_methods"],
+                    "holidays": wh["holidays"], "places": place_attributes(wh["dim_locations"])} for _ in range(2))
+    parts = {"staging_raw_trips": f"ingestion_timestamp < timestamp_ntz '{LOAD_MARK}'",
+             "driver_attributes": f"changed_at < timestamp_ntz '{LOAD_MARK}' and not {LATE_CHANGE} and driver_id % 10 <> 3",
+             "rider_attributes": f"changed_at < timestamp_ntz '{LOAD_MARK}' and not {LATE_CHANGE}",
+             "raw_payments": f"payment_timestamp < timestamp_ntz '{LOAD_MARK}'"}
+    for name, early in parts.items():
+        first[name], rest[name] = wh[name].where(early), wh[name].where(f"not coalesce({early}, false)")
+    return first, rest
+
+
+def named_facts(job):
+    """Loaded trips under the names of what their keys point to."""
+    t = job.table
+    drivers = t("dim_drivers").select("driver_sk", "driver_id", F.col("effective_start_date").alias("driver_from"),
+                                      F.col("last_name").alias("driver_last_name"))
+    riders = t("dim_riders").select("rider_sk", "rider_id", F.col("effective_start_date").alias("rider_from"), "loyalty_tier")
+    places = t("dim_locations").select("location_sk", "location_id")
+    return (t("fact_trips").join(drivers, "driver_sk").join(riders, "rider_sk")
+            .join(places.toDF("pickup_location_sk", "pickup_id"), "pickup_location_sk", "left")
+            .join(places.toDF("dropoff_location_sk", "dropoff_id"), "dropoff_location_sk", "left")
+            .join(t("dim_trip_status").select("trip_status_sk", "status_code"), "trip_status_sk")
+            .select("trip_id", "driver_id", "driver_from", "driver_last_name", "rider_id", "rider_from", "loyalty_tier", "pickup_id",
+                    "dropoff_id", "status_code", "pickup_timestamp", "total_fare", "driver_earnings"))
+
+
+def two_step_load(wh):
+    """A full load, then an increment with later states, late changes and drivers unknown before."""
+    job = IncrementalLoad(wh.spark, scratch_dir(wh.spark, "two-step"), TRIP_CLOCK, grain="month")
+    first, rest = two_sources(wh)
+    job.run(first)
+    job.add(rest, 1)
+    return named_facts(job)
+
+
+def _renamed(text: str, prefix: str) -> str:
+    return re.sub(r"\b(named|set_at|filled|typed|picked|seen|versions)\b", prefix + r"_\1", text)
+
+
+query("two_step_load", "staging_raw_trips", "driver_attributes", "rider_attributes", sql=f"""
+with {_renamed(sparse_sql('driver_attributes', 'driver_id', dimensions.version_attributes('dim_drivers', 'driver_id')), 'd')},
+{_renamed(sparse_sql('rider_attributes', 'rider_id', dimensions.version_attributes('dim_riders', 'rider_id')), 'r')},
+{CHECKED},
+{LATEST.replace('from staging_raw_trips', 'from checked where fare_ok and raw_ok')},
+raw_parts as (select *,
+       {FARE_PARTS} from latest),
+keyed as (
+  select p.* exclude (driver_id, rider_id), coalesce(d.driver_id, -1) as driver_id, d.effective_start_date as driver_from,
+         d.last_name as driver_last_name, coalesce(r.rider_id, -1) as rider_id, r.effective_start_date as rider_from, r.loyalty_tier
+  from raw_parts p
+  left join d_versions d on d.driver_id = p.driver_id and coalesce(p.pickup_at, p.requested_at) >= d.effective_start_date
+       and coalesce(p.pickup_at, p.requested_at) < d.effective_end_date
+  left join r_versions r on r.rider_id = p.rider_id and coalesce(p.pickup_at, p.requested_at) >= r.effective_start_date
+       and coalesce(p.pickup_at, p.requested_at) < r.effective_end_date),
+parts as (select * exclude (surge_multiplier), cast(coalesce(surge_multiplier, 1) as decimal(4,2)) as surge_multiplier
+          from keyed),
+{MEASURES}
+select trip_id, driver_id, driver_from, driver_last_name, rider_id, rider_from, loyalty_tier,
+       {LOCATION_ID.format('pickup_lat', 'pickup_lng')} as pickup_id, {LOCATION_ID.format('dropoff_lat', 'dropoff_lng')} as dropoff_id,
+       status as status_code, pickup_at as pickup_timestamp, total_fare, driver_earnings
+from shares""")(two_step_load)
+
 MEASURE_COLUMNS = ["trip_id", "requested_timestamp", "pickup_timestamp", "dropoff_timestamp", "base_fare",
                    "distance_fare", "time_fare", "surge_multiplier", "tolls_fare", "tips_amount", "discount_amount"]
 

@@ -77,3 +77,29 @@ def conform(df: DataFrame, table: str, as_of=None) -> DataFrame:
             value = F.lit(None)
         columns.append(value.try_cast(field.dataType).alias(field.name))
     return df.select(columns)
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """True where a write to ``path`` has come to its end."""
+    system, place = _folder(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
+
+
+def drop_folders(spark: SparkSession, root: str, table: str, grain: str, dates) -> None:
+    """Remove the folders of some dates (None: rows without one) of a table stored by day or month."""
+    for date in dates:
+        name = "__HIVE_DEFAULT_PARTITION__" if date is None else str(date)
+        system, place = _folder(spark, f"{root}/{table}/{partition_column(table, grain)}={name}")
+        system.delete(place, True)
+
+
+def in_folders(df: DataFrame, column: str, dates) -> DataFrame:
+    """Rows of the given folders (None: rows without a date); the others are not read."""
+    days = [d for d in dates if d is not None]
+    wanted = F.col(column).isin(days) if days else F.lit(False)
+    return df.where(wanted | F.col(column).isNull() if None in dates else wanted)
