@@ -1,10 +1,10 @@
-"""Key figures over the trip fact. Each is one join with a small part of a dimension and one aggregate."""
+"""Key figures over the trip fact: sums per place first, then the lookup of what the place is, then the figure."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from farelake.functions.aggregates import count_if, mean, percent, percent_of, ratio
+from farelake.functions.aggregates import count_if, percent_of, ratio
 from farelake.plans.views import SATISFIED_FROM, Tables, pickup_city
 
 
@@ -14,30 +14,35 @@ def _trip_date() -> Column:
 
 def kpi_financial(wh: Tables) -> DataFrame:
     """Surge share, commission rate, earnings per trip and discount share by city and day."""
+    summed = ("total_fare", "surge_fare", "company_commission", "driver_earnings", "discount_amount", "surge_multiplier")
+    per_place = wh["fact_trips"].groupBy(_trip_date(), "pickup_location_sk").agg(
+        F.count(F.lit(1)).alias("n"), F.count("surge_multiplier").alias("surges"), *[F.sum(c).alias(c) for c in summed])
     return (
-        wh["fact_trips"].join(pickup_city(wh), "pickup_location_sk")
-        .groupBy(_trip_date(), "city")
-        .agg(F.count(F.lit(1)).alias("total_trips"),
-             F.sum("total_fare").alias("total_revenue"),
+        per_place.join(pickup_city(wh), "pickup_location_sk").groupBy("trip_date", "city")
+        .agg(F.sum("n").alias("total_trips"),
+             F.sum("total_fare").cast("decimal(20,2)").alias("total_revenue"),
              percent_of(F.sum("surge_fare"), F.sum("total_fare")).alias("surge_share"),
              percent_of(F.sum("company_commission"), F.sum("total_fare")).alias("commission_rate"),
-             ratio(F.sum("driver_earnings"), F.count(F.lit(1))).alias("earnings_per_trip"),
+             ratio(F.sum("driver_earnings"), F.sum("n")).alias("earnings_per_trip"),
              percent_of(F.sum("discount_amount"), F.sum("total_fare")).alias("discount_share"),
-             mean("surge_multiplier").alias("avg_surge_multiplier"))
+             ratio(F.sum("surge_multiplier"), F.sum("surges")).alias("avg_surge_multiplier"))
     )
 
 
 def kpi_operations(wh: Tables) -> DataFrame:
     """Completion and cancellation rate, mean wait and distance by city and day."""
     flags = wh["dim_trip_status"].select("trip_status_sk", "is_completed", "is_cancelled")
+    per_place = wh["fact_trips"].groupBy(_trip_date(), "pickup_location_sk", "trip_status_sk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("wait_time_minutes").alias("wait"), F.count("wait_time_minutes").alias("waits"),
+        F.sum("actual_distance_miles").alias("miles"), F.count("actual_distance_miles").alias("distances"))
+    n = F.sum("n")
     return (
-        wh["fact_trips"].join(pickup_city(wh), "pickup_location_sk").join(flags, "trip_status_sk")
-        .groupBy(_trip_date(), "city")
-        .agg(F.count(F.lit(1)).alias("total_trips"),
-             percent(F.col("is_completed")).alias("completion_rate"),
-             percent(F.col("is_cancelled")).alias("cancellation_rate"),
-             mean("wait_time_minutes").alias("avg_wait_minutes"),
-             mean("actual_distance_miles").alias("avg_distance_miles"))
+        per_place.join(flags, "trip_status_sk").join(pickup_city(wh), "pickup_location_sk").groupBy("trip_date", "city")
+        .agg(n.alias("total_trips"),
+             percent_of(F.sum(F.when(F.col("is_completed"), F.col("n")).otherwise(0)), n).alias("completion_rate"),
+             percent_of(F.sum(F.when(F.col("is_cancelled"), F.col("n")).otherwise(0)), n).alias("cancellation_rate"),
+             ratio(F.sum("wait"), F.sum("waits")).alias("avg_wait_minutes"),
+             ratio(F.sum("miles"), F.sum("distances")).alias("avg_distance_miles"))
     )
 
 
@@ -64,17 +69,18 @@ def driving_days(trips: DataFrame, feed: DataFrame) -> DataFrame:
 def kpi_quality(wh: Tables) -> DataFrame:
     """Mean ratings both ways, share of ratings of 4 and more, and share of unrated completed trips."""
     good = F.lit(SATISFIED_FROM).cast("decimal(3,2)")
-    rated = F.col("rider_rating_given").isNotNull()
     done = wh["dim_trip_status"].where("is_completed").select("trip_status_sk")
+    per_place = wh["fact_trips"].groupBy("pickup_location_sk", "trip_status_sk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rider_rating_given").alias("of_drivers"), F.count("rider_rating_given").alias("rated"),
+        F.sum("driver_rating_given").alias("of_riders"), F.count("driver_rating_given").alias("rated_riders"),
+        count_if(F.col("rider_rating_given") >= good).alias("satisfied"))
     return (
-        wh["fact_trips"].join(done, "trip_status_sk").join(pickup_city(wh), "pickup_location_sk")
-        .groupBy("city")
-        .agg(F.count(F.lit(1)).alias("completed_trips"),
-             mean("rider_rating_given").alias("avg_driver_rating"),
-             mean("driver_rating_given").alias("avg_rider_rating"),
-             percent_of(count_if(F.col("rider_rating_given") >= good), F.count("rider_rating_given"))
-             .alias("satisfied_share"),
-             percent(~rated).alias("unrated_share"))
+        per_place.join(done, "trip_status_sk").join(pickup_city(wh), "pickup_location_sk").groupBy("city")
+        .agg(F.sum("n").alias("completed_trips"),
+             ratio(F.sum("of_drivers"), F.sum("rated")).alias("avg_driver_rating"),
+             ratio(F.sum("of_riders"), F.sum("rated_riders")).alias("avg_rider_rating"),
+             percent_of(F.sum("satisfied"), F.sum("rated")).alias("satisfied_share"),
+             percent_of(F.sum("n") - F.sum("rated"), F.sum("n")).alias("unrated_share"))
     )
 
 

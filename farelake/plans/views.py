@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from farelake.functions.aggregates import mean, percent, whole_mean
+from farelake.functions.aggregates import mean, percent, ratio, whole_mean
 from farelake.functions.scalars import full_name, months_before
 
 Tables = Mapping[str, DataFrame]
@@ -80,17 +80,25 @@ def _trip_summary(wh: Tables, drivers: DataFrame, riders: DataFrame) -> DataFram
 
 
 def v_daily_revenue(wh: Tables) -> DataFrame:
-    """Completed trips by pickup date and city. Trips without a pickup time share a NULL date."""
-    return (
+    """Completed trips by pickup date and city. Trips without a pickup time share a NULL date.
+
+    Trips are summed per place and date before the place is looked up.
+    """
+    per_place = (
         wh["fact_trips"]
         .where(F.col("trip_status_sk") == completed_status(wh))
-        .join(pickup_city(wh), "pickup_location_sk")
-        .groupBy(F.to_date("pickup_timestamp").alias("trip_date"), "city")
-        .agg(F.count(F.lit(1)).alias("total_trips"),
-             F.sum("total_fare").alias("total_revenue"),
-             mean("total_fare").alias("avg_fare"),
-             F.sum("driver_earnings").alias("driver_earnings"),
-             F.sum("company_commission").alias("company_revenue"))
+        .groupBy(F.to_date("pickup_timestamp").alias("trip_date"), "pickup_location_sk")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("total_fare").alias("fare"), F.count("total_fare").alias("fares"),
+             F.sum("driver_earnings").alias("earned"), F.sum("company_commission").alias("kept"))
+    )
+    return (
+        per_place.join(pickup_city(wh), "pickup_location_sk")
+        .groupBy("trip_date", "city")
+        .agg(F.sum("n").alias("total_trips"),
+             F.sum("fare").cast("decimal(20,2)").alias("total_revenue"),
+             ratio(F.sum("fare"), F.sum("fares")).alias("avg_fare"),
+             F.sum("earned").cast("decimal(20,2)").alias("driver_earnings"),
+             F.sum("kept").cast("decimal(20,2)").alias("company_revenue"))
     )
 
 
