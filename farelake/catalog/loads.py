@@ -629,6 +629,37 @@ select *, coalesce(pickup_timestamp < timestamp '{TRIP_CLOCK}' - interval '730'
 from fact_trips""")(
     lambda wh: retention.archive_split(wh["fact_trips"], "pickup_timestamp", TRIP_CLOCK, 730))
 
+def archived_by_folder(wh):
+    """Trips stored by month, archived twice with a growing clock; both parts read back."""
+    spark, root, archive = wh.spark, scratch_dir(wh.spark, "trips"), scratch_dir(wh.spark, "archived-trips")
+    trips = wh["fact_trips"]
+    write_table(trips, root, "fact_trips", grain="month", whole=True)
+    for clock in ("2000-03-10 06:00:00", TRIP_CLOCK):
+        retention.archive_folders(spark, root, archive, "fact_trips", clock, 730, "month")
+    parts = [spark.read.parquet(f"{place}/fact_trips").select(trips.columns).withColumn("is_archived", F.lit(old))
+             for place, old in ((root, False), (archive, True))]
+    return parts[0].unionByName(parts[1])
+
+
+query("archive_by_folder", "fact_trips", sql=f"""
+select *, coalesce(pickup_timestamp < timestamp '{TRIP_CLOCK}' - interval '730' day, false) as is_archived
+from fact_trips""")(archived_by_folder)
+
+
+def purged_by_folder(wh):
+    """The audit log stored by day, less what is past its retention period."""
+    root, log = scratch_dir(wh.spark, "audit"), wh["security_audit_log"]
+    write_table(log, root, "security_audit_log", whole=True)
+    retention.purge_folders(wh.spark, root, "security_audit_log", wh["data_classification"], EVENT_CLOCK)
+    return wh.spark.read.parquet(f"{root}/security_audit_log").select(log.columns)
+
+
+query("purge_by_folder", "security_audit_log", "data_classification", sql=f"""
+select * from security_audit_log
+where event_timestamp >= timestamp '{EVENT_CLOCK}' - interval '1' day *
+      (select min(retention_period_days) from data_classification where table_name = 'security_audit_log')
+   or event_timestamp is null""")(purged_by_folder)
+
 query("retention_purge", "security_audit_log", "data_classification", sql=f"""
 select * from security_audit_log
 where event_timestamp < timestamp '{EVENT_CLOCK}' - interval '1' day *
@@ -684,3 +715,19 @@ select location_sk, policy_sk, priority_order from matched where rn = 1""")(
     lambda wh: policies.first_policy(
         wh["dim_locations"], "location_sk", ["city", "zone_id"],
         policies.parsed_policies(wh["access_policies"], "dim_locations", "READ")))
+
+query("rows_by_policy", "dim_locations", "access_policies", sql="""
+with parsed as (
+  select policy_sk, priority_order, action_type, trim(split_part(policy_condition, '=', 1)) as c,
+         trim(trim(split_part(policy_condition, '=', 2)), '''') as v
+  from access_policies
+  where is_active and resource_pattern = 'dim_locations' and (policy_sk < 2000 or policy_sk >= 3000)),
+matched as (
+  select l.location_sk, p.policy_sk, p.priority_order, p.action_type,
+         row_number() over (partition by l.location_sk order by p.priority_order, p.policy_sk) as rn
+  from dim_locations l join parsed p
+    on (p.c = 'city' and p.v = l.city) or (p.c = 'zone_id' and p.v = l.zone_id))
+select l.*, m.policy_sk, m.priority_order, coalesce(m.action_type = 'READ', false) as is_allowed
+from dim_locations l left join matched m on m.location_sk = l.location_sk and m.rn = 1""")(
+    lambda wh: policies.rows_by_policy(wh["dim_locations"], "location_sk", ["city", "zone_id"], wh["access_policies"],
+                                       "dim_locations", "READ"))

@@ -38,6 +38,34 @@ def parsed_policies(policies: DataFrame, resource: str, action: str) -> DataFram
     )
 
 
+def parsed_rules(policies: DataFrame, resource: str) -> DataFrame:
+    """As ``parsed_policies``, for every action of a resource, which is kept as ``action_type``."""
+    condition = F.col("policy_condition")
+    return (policies.where(F.col("is_active") & (F.col("resource_pattern") == resource))
+            .select("policy_sk", "priority_order", "action_type",
+                    F.nullif(F.regexp_extract(condition, CONDITION, 1), F.lit("")).alias("match_column"),
+                    F.regexp_extract(condition, CONDITION, 2).alias("match_value")))
+
+
+def rows_by_policy(rows: DataFrame, key: str, columns: list[str], policies: DataFrame, resource: str, action: str) -> DataFrame:
+    """Every row with the policy that decides on it and ``is_allowed``.
+
+    Of all active policies that match a row, whatever their action, the one with the
+    lowest priority number decides: it allows its own action and denies any other. A
+    row that no policy matches is denied. Only winners, one per matched row, meet the rows again.
+    """
+    rules = parsed_rules(policies, resource)
+    won = first_policy(rows, key, columns, rules).join(rules.select("policy_sk", "action_type"), "policy_sk")
+    return (rows.join(won, key, "left")
+            .withColumn("is_allowed", F.coalesce(F.col("action_type") == action, F.lit(False))).drop("action_type"))
+
+
+def visible_rows(rows: DataFrame, key: str, columns: list[str], policies: DataFrame, resource: str, action: str) -> DataFrame:
+    """The rows that the first matching policy allows, as they are."""
+    decided = rows_by_policy(rows, key, columns, policies, resource, action)
+    return decided.where("is_allowed").select(rows.columns)
+
+
 def first_policy(rows: DataFrame, key: str, columns: list[str], policies: DataFrame) -> DataFrame:
     """For each row the matching policy with the lowest priority number.
 

@@ -302,6 +302,9 @@ MAPPINGS = {
     from {nation}
     union all
     select 2000 + n_nationkey, 'dim_locations', 'city = x or 1 = 1', 'READ', true, 1
+    from {nation}
+    union all
+    select 3000 + n_nationkey, 'dim_locations', 'city = ' || n_name, 'WRITE', n_nationkey % 2 = 0, 70 + n_nationkey
     from {nation}""",
     "row_requests": """
     select event_id as request_id, user_id as user_sk, 10000000 + event_id % 10 as location_sk

@@ -17,6 +17,8 @@ PARTITIONED = {
     "security_audit_log": ("event", "event_timestamp"),
 }
 GRAINS = ("day", "month")
+# The name Spark gives to the folder of rows without a date.
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def partition_column(table: str, grain: str) -> str:
@@ -93,11 +95,35 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 def drop_folders(spark: SparkSession, root: str, table: str, grain: str, dates) -> None:
     """Remove the folders of some dates (None: rows without one) of a table stored by day or month."""
     for date in dates:
-        name = "__HIVE_DEFAULT_PARTITION__" if date is None else str(date)
+        name = NO_DATE if date is None else str(date)
         system, place = _folder(spark, f"{root}/{table}/{partition_column(table, grain)}={name}")
         system.delete(place, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none where it does not exist."""
+    system, place = _folder(spark, path)
+    if not system.exists(place):
+        return []
+    return [entry.getPath().getName() for entry in system.listStatus(place) if entry.isDirectory()]
+
+
+def move_folder(spark: SparkSession, root: str, to: str, table: str, grain: str, date) -> None:
+    """Move one folder of a table as it is. Where it has files already, the moved ones come beside them."""
+    name = f"{table}/{partition_column(table, grain)}={date}"
+    system, source = _folder(spark, f"{root}/{name}")
+    _, target = _folder(spark, f"{to}/{name}")
+    if not system.exists(source):
+        return
+    system.mkdirs(target.getParent())
+    if not system.exists(target):
+        system.rename(source, target)
+        return
+    for entry in system.listStatus(source):
+        system.rename(entry.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, entry.getPath().getName()))
+    system.delete(source, True)
+
+
 def in_folders(df: DataFrame, column: str, dates) -> DataFrame:
     """Rows of the given folders (None: rows without a date); the others are not read."""
     days = [d for d in dates if d is not None]
