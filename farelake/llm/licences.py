@@ -3,12 +3,13 @@
 The index holds licence templates: for each word its template and position. A
 text's licence words (the templates' words except function words) are taken with
 their positions; how many documents have each word gives its inverse document
-frequency over the whole corpus. For the highest-IDF licence words of a text,
-at most ``LOOKUPS`` different ones, template postings are fetched; a posting and
-a place in the text say where the template would have to start. Where two rare words or
-more agree on a template and start (one, if the template has no more), the template's
-mandatory key phrase is verified word by word at that place. The label's score is the
-share of the template's licence words, by IDF, that stand where they should.
+frequency over the whole corpus. A template is looked up from the rarest word of its
+mandatory key phrase on: a place of that word in the text says where the template would have to start, and the
+places of the next rarest words, moved back by their positions, are intersected with it until the
+whole key phrase is verified. At the starts that are left the template's other
+postings are intersected too: the label's score is the share of the template's licence words, by IDF,
+that stand where they should. All of a text's licence words are looked up, and the work is linear in
+their number, but for a sort.
 
 Everything is array work inside a row; only the word counts are shuffled, and
 they are one row a licence word. Base phrases are looked up in the same rows.
@@ -47,7 +48,6 @@ TEMPLATES = (
     ("reserved", "all rights reserved", "all rights reserved"),
 )
 FUNCTION_WORDS = frozenset("the and to of is in a this any or with".split())
-LOOKUPS = 6
 LEAST_SCORE = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,39 +81,41 @@ def word_weights(rows: DataFrame) -> dict[str, float]:
     return {w: math.log((n + 1) / (counts.get(w, 0) + 0.5)) for w in VOCABULARY}
 
 
-def _literal(values: dict[str, float]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
-
-
 def _places(word: str, back: int) -> Column:
     """Where a phrase would start that has ``word`` at place ``back``."""
     return F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - back)
 
 
-def _voted(votes: Column, least: int) -> Column:
-    return F.filter(F.array_distinct(votes), lambda s: F.size(F.filter(votes, lambda v: v == s)) >= least)
+def _best(starts: Column, words: list[tuple[int, str]], weight: dict[str, float]) -> Column:
+    """(start, score) of the start with the largest share of the words, by weight, that stand where they should.
 
+    Each word's agreeing starts are one set intersection; the agreements of all words are
+    sorted and added up run by run, so the work is linear but for the sort.
+    """
+    total = sum(weight[w] for _, w in words)
 
-def _share(start: Column, words: list[tuple[int, str]], weight: dict[str, float]) -> Column:
-    """Share of the words, by weight, that stand where they should."""
-    def stands(k: int, w: str) -> Column:
-        return F.when(F.exists("hits", lambda h: (h["at"] == start + k) & (h["word"] == w)), weight[w]).otherwise(0.0)
+    def agreeing(k: int, w: str) -> Column:
+        return F.transform(F.array_intersect(starts, _places(w, k)), lambda s: F.struct(s.alias("s"), F.lit(weight[w] / total).alias("x")))
 
-    return sum((stands(k, w) for k, w in words), F.lit(0.0)) / F.lit(sum(weight[w] for _, w in words))
+    agreed = F.flatten(F.array(*[agreeing(k, w) for k, w in words]))
+    none = F.struct(F.lit(-1).alias("s"), F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(0.0).alias("score"))
 
+    def add(a: Column, h: Column) -> Column:
+        run = F.when(a["s"] == h["s"], a["sum"]).otherwise(F.lit(0.0)) + h["x"]
+        more = run > a["score"]
+        return F.struct(h["s"].alias("s"), run.alias("sum"), F.when(more, h["s"]).otherwise(a["start"]).alias("start"),
+                        F.when(more, run).otherwise(a["score"]).alias("score"))
 
-def _scored(starts: Column, label: str, words: list[tuple[int, str]], weight: dict[str, float]) -> Column:
-    return F.transform(starts, lambda s: F.struct(
-        F.lit(label).alias("label"), s.alias("start"), _share(s, words, weight).alias("score")))
+    return F.aggregate(F.array_sort(agreed), none, add, lambda a: F.struct(a["start"].alias("start"), a["score"].alias("score")))
 
 
 def _places_back(places: Column, by: int) -> Column:
     return F.transform(places, lambda s: s - by)
 
 
-def _starts(phrase: str) -> Column:
-    """Places where the phrase's words stand one after the other; function words are not looked at."""
-    words = [(k, w) for k, w in enumerate(phrase.split()) if w in VOCABULARY]
+def _starts(phrase: str, weight: dict[str, float]) -> Column:
+    """Places where the phrase's words stand one after the other, from its rarest word on; function words are not looked at."""
+    words = sorted(((k, w) for k, w in enumerate(phrase.split()) if w in VOCABULARY), key=lambda x: (-weight[x[1]], x[0]))
     places = F.array_distinct(_places(words[0][1], words[0][0]))
     for k, w in words[1:]:
         places = F.array_intersect(places, _places(w, k))
@@ -122,33 +124,26 @@ def _starts(phrase: str) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
          least_score: float = LEAST_SCORE) -> DataFrame:
-    """Per document counts, places and labels of base phrases, the method's labels, and ``found``: (label, start, score)."""
+    """Per document counts, places and labels of base phrases, the method's labels, and ``found``: (label, start, score) of each template's best place."""
     rows = licence_words(docs, id_col, text_col, carry)
     idf = word_weights(rows)
     weight = {w: idf[w] for w in VOCABULARY}
-    # The document's rarest licence words.
-    own = F.array_distinct(F.transform("hits", lambda h: h["word"]))
-    rank = {w: k for k, w in enumerate(sorted(VOCABULARY, key=lambda w: (-weight[w], w)))}
-    ranks = F.array_sort(F.transform(own, lambda w: _literal(rank)[w]))
-    by_rank = F.array(*[F.lit(w) for w in sorted(rank, key=rank.get)])
-    rows = rows.withColumn("rare", F.transform(F.slice(ranks, 1, LOOKUPS), lambda r: F.element_at(by_rank, r + 1)))
-    found = []
-    for label, template, key in TEMPLATES:
-        words = [(k, w) for k, w in enumerate(template.split()) if w in weight]
-        none = F.array().cast("array<int>")
-        votes = F.flatten(F.array(*[F.when(F.array_contains("rare", w), _places(w, k)).otherwise(none) for k, w in words]))
-        # Where the template would start: two rare words agree.
-        agreed = _voted(votes, min(2, len(words)))
-        offset = _offset(template.split(), key.split())
-        keyed = F.array_intersect(agreed, _places_back(_starts(key), offset))
-        found.append(F.filter(_scored(keyed, label, words, weight), lambda x: x["score"] >= least_score))
-    base = [(_starts(phrase), label) for phrase, label in BASE]
     some = F.size("hits") > 0
-    empty_found = F.array().cast("array<struct<label:string,start:int,score:double>>")
+    nowhere = F.array().cast("array<int>")
+    # Where each template's key phrase says that the template starts.
+    rows = rows.withColumns({f"keyed{i}": F.when(some, _places_back(_starts(key, weight), _offset(template.split(), key.split()))).otherwise(nowhere)
+                             for i, (_, template, key) in enumerate(TEMPLATES)})
+    rows = rows.withColumns({f"best{i}": F.when(
+        F.size(f"keyed{i}") > 0, _best(F.col(f"keyed{i}"), [(k, w) for k, w in enumerate(template.split()) if w in weight], weight))
+        for i, (_, template, _) in enumerate(TEMPLATES)})
+    found = F.filter(F.array(*[F.when(F.col(f"best{i}.score") >= least_score, F.struct(
+        F.lit(label).alias("label"), F.col(f"best{i}.start").alias("start"), F.col(f"best{i}.score").alias("score")))
+        for i, (label, _, _) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
+    base = [(_starts(phrase, weight), label) for phrase, label in BASE]
     rows = rows.select(
         "doc_id", "n_words", *carry,
-        F.when(some, F.flatten(F.array(*found))).otherwise(empty_found).alias("found"),
-        *[F.when(some, places).otherwise(F.array().cast("array<int>")).alias(f"base{k}") for k, (places, _) in enumerate(base)])
+        found.alias("found"),
+        *[F.when(some, places).otherwise(nowhere).alias(f"base{k}") for k, (places, _) in enumerate(base)])
     all_places = F.flatten(F.array(*[F.col(f"base{k}") for k in range(len(base))]))
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(base)]))
     return rows.select(

@@ -145,3 +145,51 @@ def test_licences(spark):
     exact_dedup.exact_groups, mixing.mix, mixing.mix_documents, sharding.shard_documents, licences.scan])
 def test_no_rows(none, run):
     assert run(none).count() == 0
+
+
+def plain_labels(text, weight, least=licences.LEAST_SCORE):
+    """The method's labels and the best score of a text, by looking at every start."""
+    words = [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    labels, best = set(), 0.0
+    for label, template, key in licences.TEMPLATES:
+        t, k = template.split(), key.split()
+        offset = next(i for i in range(len(t)) if t[i:i + len(k)] == k)
+        needed = [(i, w) for i, w in enumerate(k) if w in licences.VOCABULARY]
+        for start in range(-len(t), len(words)):
+            at = lambda i: words[start + i] if 0 <= start + i < len(words) else None
+            if all(at(offset + i) == w for i, w in needed):
+                mine = [(i, w) for i, w in enumerate(t) if w in weight]
+                score = sum(weight[w] for i, w in mine if at(i) == w) / sum(weight[w] for _, w in mine)
+                best = max(best, score)
+                if score >= least:
+                    labels.add(label)
+    return labels, best
+
+
+def test_licence_labels_equal_plain(spark):
+    r = __import__("random").Random(4)
+    texts = []
+    for n in range(120):
+        parts = [prose(700 + n, r.randrange(0, 12))]
+        for _ in range(r.randrange(0, 4)):
+            t = r.choice(licences.TEMPLATES)[1].split()
+            if r.random() < 0.4:
+                t[r.randrange(len(t))] = "lamp"
+            parts += [" ".join(t).upper() if r.random() < 0.3 else " ".join(t), prose(900 + n, r.randrange(0, 5))]
+        texts.append(r.choice([" ", ", ", "\n"]).join(parts))
+    texts += ["License mit", "MIT license. Mozilla public license; " * 3, None, ""]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    weight = licences.word_weights(licences.licence_words(docs))
+    for row in licences.scan(docs).collect():
+        labels, best = plain_labels(texts[row.doc_id], weight)
+        assert set(row.labels) - set(row.base_labels) == labels - set(row.base_labels), texts[row.doc_id]
+        assert row.base_labels or abs(row.score - (best if best >= licences.LEAST_SCORE else 0.0)) < 1e-9
+
+
+def test_joined_licences_keep_their_labels_and_long_ones_end(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Released under the MIT license."
+    mpl = "This file is subject to the terms of the Mozilla Public License, with source and binary forms, without modification."
+    long = "licensed under the mit license " * 40_000
+    docs = spark.createDataFrame(rows_of([mit, mpl, mit + " " + mpl, long]), SCHEMA)
+    out = {r.doc_id: set(r.labels) for r in licences.scan(docs).collect()}
+    assert "mit" in out[0] and "mpl" in out[1] and out[2] >= out[0] | out[1] and out[3] == {"mit"}
