@@ -69,7 +69,7 @@ from access_requests q
 left join (select distinct user_id, permission_code, 1 as has_permission
            from ({USER_PERMISSIONS.format(valid='')}) as v) g
   on q.user_id = g.user_id and q.permission_code = g.permission_code""")(
-    lambda wh: access.check_permissions(wh["access_requests"], access.v_user_permissions(wh)))
+    lambda wh: access.check_requests({n: wh[n] for n in PERMISSION_TABLES}, wh["access_requests"]))
 
 LOGIN_CHAIN = """
 with recursive numbered as (

@@ -84,4 +84,4 @@ join hours h on h.minute = 0
   and h.time_sk = cast(strftime(date_trunc('hour', t.requested_timestamp), '%Y%m%d%H%M') as bigint)
 group by 1, 2, 3, 4""")(
     lambda wh: kpis.demand_by_zone_hour(wh, dimensions.dim_time(
-        dimensions.minutes_of(wh["fact_trips"], "requested_timestamp"), wh["holidays"])))
+        dimensions.minutes_of(wh["fact_trips"], "requested_timestamp", 60), wh["holidays"])))

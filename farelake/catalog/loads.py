@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from farelake.catalog.trips import DAILY_REVENUE
-from farelake.functions.scalars import location_key
+from farelake.functions.scalars import code, location_key, password_digest
 from farelake.operators import constraints, masking, policies, quality, retention
 from farelake.operators.keys import assign_surrogate_keys
 from farelake.operators.scd2 import merge_versions, with_version_keys
@@ -18,6 +18,8 @@ from farelake.registry import EVENT_CLOCK, TRIP_CLOCK, query
 from farelake.schemas import ACCEPTED, FOREIGN_KEYS, RANGES, REQUIRED, TEXT_LIMITS, UNIQUE
 from farelake.session import durable, scratch_dir
 from farelake.sources.tables import write_table
+from farelake.streaming import jobs
+from farelake.streaming.facts import LOGS, stream_facts
 
 LOAD_MARK = "1998-01-01 00:00:00"
 
@@ -438,7 +440,7 @@ def _renamed(text: str, prefix: str) -> str:
     return re.sub(r"\b(named|set_at|filled|typed|picked|seen|versions)\b", prefix + r"_\1", text)
 
 
-query("two_step_load", "staging_raw_trips", "driver_attributes", "rider_attributes", sql=f"""
+TWO_STEP_SQL = f"""
 with {_renamed(sparse_sql('driver_attributes', 'driver_id', dimensions.version_attributes('dim_drivers', 'driver_id')), 'd')},
 {_renamed(sparse_sql('rider_attributes', 'rider_id', dimensions.version_attributes('dim_riders', 'rider_id')), 'r')},
 {CHECKED},
@@ -459,7 +461,9 @@ parts as (select * exclude (surge_multiplier), cast(coalesce(surge_multiplier, 1
 select trip_id, driver_id, driver_from, driver_last_name, rider_id, rider_from, loyalty_tier,
        {LOCATION_ID.format('pickup_lat', 'pickup_lng')} as pickup_id, {LOCATION_ID.format('dropoff_lat', 'dropoff_lng')} as dropoff_id,
        status as status_code, pickup_at as pickup_timestamp, total_fare, driver_earnings
-from shares""")(two_step_load)
+from shares"""
+
+query("two_step_load", "staging_raw_trips", "driver_attributes", "rider_attributes", sql=TWO_STEP_SQL)(two_step_load)
 
 MEASURE_COLUMNS = ["trip_id", "requested_timestamp", "pickup_timestamp", "dropoff_timestamp", "base_fare",
                    "distance_fare", "time_fare", "surge_multiplier", "tolls_fare", "tips_amount", "discount_amount"]
@@ -731,3 +735,64 @@ select l.*, m.policy_sk, m.priority_order, coalesce(m.action_type = 'READ', fals
 from dim_locations l left join matched m on m.location_sk = l.location_sk and m.rn = 1""")(
     lambda wh: policies.rows_by_policy(wh["dim_locations"], "location_sk", ["city", "zone_id"], wh["access_policies"],
                                        "dim_locations", "READ"))
+
+query("mask_for_readers", "security_users", sql="""
+select user_sk, case when account_type = 'STAFF' then user_id
+                     when length(user_id) <= 4 then '****' else '****' || right(user_id, 4) end as user_id,
+       case when account_type = 'STAFF' then email else sha256(email) end as email, first_name,
+       case when account_type = 'STAFF' then last_name end as last_name, user_status, account_type,
+       case when account_type = 'STAFF' then last_login_at else date_trunc('year', last_login_at)::timestamp end as last_login_at,
+       email_verified, mfa_enabled
+from security_users""")(
+    lambda wh: masking.mask_for_readers(wh["security_users"], masking.rules_of(wh["data_classification"], "security_users"),
+                                        F.col("account_type") == "STAFF"))
+
+query("password_digests", "security_users", sql="""
+select user_sk, sha256('pw' || cast(user_sk % 5 as varchar) || 's' || cast(user_sk as varchar)) as digest from security_users""")(
+    lambda wh: wh["security_users"].select("user_sk", password_digest(
+        F.concat(F.lit("pw"), (F.col("user_sk") % 5).cast("string")), F.concat(F.lit("s"), F.col("user_sk").cast("string"))).alias("digest")))
+
+query("upsert_payment_methods", "dim_payment_methods", "method_updates", sql="""
+with last as (select * from (select *, row_number() over (partition by payment_method_id order by update_seq desc) as rn
+                             from method_updates) as r where rn = 1)
+select coalesce(m.payment_method_sk, (select max(payment_method_sk) from dim_payment_methods) + row_number() over (
+         partition by m.payment_method_sk is null
+         order by substr(md5(cast(u.payment_method_id as varchar)), 1, 3), u.payment_method_id)) as payment_method_sk,
+       coalesce(u.payment_method_id, m.payment_method_id) as payment_method_id,
+       case when u.payment_method_id is null then m.payment_type else u.payment_type end as payment_type,
+       case when u.payment_method_id is null then m.provider else u.provider end as provider, m.is_active
+from dim_payment_methods m full outer join last u on u.payment_method_id = m.payment_method_id""")(
+    lambda wh: dimensions.upsert_members(wh["dim_payment_methods"], wh["method_updates"], "payment_method_id", "payment_method_sk",
+                                         ["update_seq"]))
+
+# Trip states met in staging and in orders; those the dimension lacks get keys.
+query("upsert_trip_status", "dim_trip_status", "staging_raw_trips", sql="""
+with met as (select distinct upper(rtrim(status)) as status_code from staging_raw_trips where status is not null
+             union select distinct 'STATE_' || o_orderstatus from orders)
+select coalesce(s.trip_status_sk, (select max(trip_status_sk) from dim_trip_status) + row_number() over (
+         partition by s.trip_status_sk is null order by substr(md5(m.status_code), 1, 3), m.status_code)) as trip_status_sk,
+       coalesce(m.status_code, s.status_code) as status_code, s.is_completed, s.is_cancelled
+from dim_trip_status s full outer join met m on m.status_code = s.status_code""")(
+    lambda wh: dimensions.upsert_members(
+        wh["dim_trip_status"],
+        wh["staging_raw_trips"].select(code("status").alias("status_code")).unionByName(
+            wh["orders"].select(F.concat(F.lit("STATE_"), "o_orderstatus").alias("status_code"))).distinct().withColumn("_turn", F.lit(0)),
+        "status_code", "trip_status_sk", ["_turn"]))
+
+
+def streamed_facts(wh):
+    """A full load; then the later staging rows come as a stream of two files, the first with all other new rows."""
+    spark, (first, rest) = wh.spark, two_sources(wh)
+    job = IncrementalLoad(spark, scratch_dir(spark, "streamed"), TRIP_CLOCK, grain="month")
+    job.run(first)
+    source = scratch_dir(spark, "deliveries")
+    part = F.pmod(F.xxhash64("trip_id", "ingestion_timestamp"), F.lit(2))
+    for k in range(2):
+        rest["staging_raw_trips"].where(part == k).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.file_stream(spark, source, wh["staging_raw_trips"].schema, max_files=1)
+    stream_facts(job, stream, lambda batch: rest if batch == 1 else {n: df.limit(0) if n in LOGS else df for n, df in rest.items()},
+                 scratch_dir(spark, "deliveries-progress"))
+    return named_facts(job)
+
+
+query("stream_fact_load", "staging_raw_trips", "driver_attributes", "rider_attributes", sql=TWO_STEP_SQL)(streamed_facts)

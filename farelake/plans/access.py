@@ -34,9 +34,8 @@ def effective_permissions_asof(wh: Tables, as_of=None) -> DataFrame:
 def _effective_permissions(wh: Tables, assignments: DataFrame) -> DataFrame:
     """Roles are resolved to permissions first, so users meet one joined side only.
 
-    Assignments are made unique before that join: a popular role then costs
-    one row per user, and Spark splits its partition where the side is too
-    large to broadcast.
+    Spark splits a popular role's partition where the side is too large to
+    broadcast; repeated assignments fall together at the end.
     """
     granted = (
         wh["security_roles"].where("is_active").select("role_sk", "role_name")
@@ -102,6 +101,17 @@ def check_permissions(requests: DataFrame, permissions: DataFrame) -> DataFrame:
             .withColumn("has_permission", F.coalesce("has_permission", F.lit(0))))
 
 
+def check_requests(wh: Tables, requests: DataFrame) -> DataFrame:
+    """``check_permissions`` that resolves the requests' own users and permission codes only."""
+    users = requests.select("user_id").distinct()
+    codes = requests.select("permission_code").distinct()
+    asked = {**wh, "security_users": wh["security_users"].join(users, "user_id", "left_semi"),
+             "security_permissions": wh["security_permissions"].join(codes, "permission_code", "left_semi")}
+    named = asked["security_users"].where(F.col("user_status") == "ACTIVE").select("user_sk")
+    asked["user_roles"] = wh["user_roles"].join(named, "user_sk", "left_semi")
+    return check_permissions(requests, v_user_permissions(asked))
+
+
 def unknown_login_attempts(attempts: DataFrame, users: DataFrame) -> DataFrame:
     """Attempts under a name that is neither a user id nor an e-mail.
 

@@ -65,10 +65,10 @@ def with_location_keys(places: DataFrame, existing: DataFrame | None = None) ->
     return number_rows(fresh, "location_id", "location_sk", highest(existing, "location_sk"))
 
 
-def minutes_of(days: DataFrame, column: str) -> DataFrame:
-    """Every minute of the distinct dates in ``days``."""
+def minutes_of(days: DataFrame, column: str, step: int = 1) -> DataFrame:
+    """Every minute, or every ``step``-th, of the distinct dates in ``days``."""
     day = F.col(column).cast("date").cast("timestamp_ntz")
-    minute = F.explode(F.sequence(F.lit(0), F.lit(24 * 60 - 1)))
+    minute = F.explode(F.sequence(F.lit(0), F.lit(24 * 60 - 1), F.lit(step)))
     return (days.where(F.col(column).isNotNull()).select(day.alias("_day")).distinct()
             .select("_day", minute.alias("_minute"))
             .select((F.col("_day") + F.make_dt_interval(mins=F.col("_minute"))).alias("minute_start")))
@@ -102,3 +102,19 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: lis
     columns = existing.columns
     last = latest_per_key(incoming, [key], order).select(columns)
     return existing.join(last.select(key), key, "left_anti").select(columns).unionByName(last)
+
+
+def upsert_members(existing: DataFrame, incoming: DataFrame, key: str, surrogate: str, order: list[str]) -> DataFrame:
+    """Type 1 load of a reference dimension with surrogate keys.
+
+    Known members take the incoming columns and keep their key and the columns that do
+    not come in; new members are numbered after the highest key.
+    """
+    columns = [c for c in incoming.columns if c not in (key, *order)]
+    last = latest_per_key(incoming.where(F.col(key).isNotNull()), [key], order).select(key, *columns)
+    other = [c for c in existing.columns if c not in (key, surrogate, *columns)]
+    known = existing.select(key, surrogate, *other)
+    kept = known.join(last, key).select(existing.columns)
+    fresh = number_rows(last.join(known, key, "left_anti"), key, surrogate, highest(existing, surrogate))
+    return (existing.join(last.select(key), key, "left_anti").select(existing.columns)
+            .unionByName(kept).unionByName(fresh, allowMissingColumns=True))
