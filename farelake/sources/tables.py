@@ -92,12 +92,16 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    system, place = _folder(spark, path)
+    system.delete(place, True)
+
+
 def drop_folders(spark: SparkSession, root: str, table: str, grain: str, dates) -> None:
     """Remove the folders of some dates (None: rows without one) of a table stored by day or month."""
     for date in dates:
         name = NO_DATE if date is None else str(date)
-        system, place = _folder(spark, f"{root}/{table}/{partition_column(table, grain)}={name}")
-        system.delete(place, True)
+        drop_folder(spark, f"{root}/{table}/{partition_column(table, grain)}={name}")
 
 
 def folder_names(spark: SparkSession, path: str) -> list[str]:
