@@ -331,7 +331,7 @@ full outer join (select * from (select *, row_number() over (partition by paymen
 
 def fact_trips_load(wh):
     staging = durable(facts.ingest_staging(facts.valid_rows(wh["staging_raw_trips"])), "clean-staging")
-    riders = with_version_keys(durable(dimensions.scd2_riders(wh["rider_changes"]), "riders"), "rider_id", "rider_sk")
+    riders = durable(with_version_keys(durable(dimensions.scd2_riders(wh["rider_changes"]), "riders"), "rider_id", "rider_sk"), "rider-keys")
     places = wh["dim_locations"].withColumn("location_id", location_key("latitude", "longitude"))
     return facts.load_fact_trips(staging, {
         "dim_drivers": wh["dim_drivers"], "dim_riders": riders, "dim_locations": places,
