@@ -15,6 +15,8 @@ PARTITIONED = {
     "fact_driver_daily": ("activity", "activity_date"),
     "staging_raw_trips": ("ingestion", "ingestion_timestamp"),
     "security_audit_log": ("event", "event_timestamp"),
+    "place_day_sums": ("pickup", "pickup_date"),
+    "place_day_members": ("pickup", "pickup_date"),
 }
 GRAINS = ("day", "month")
 # The name Spark gives to the folder of rows without a date.
