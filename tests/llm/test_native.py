@@ -119,6 +119,29 @@ def test_capacity_is_smallest():
         assert max(sizes[cut == k].sum() for k in range(shards)) == best
 
 
+@pytest.mark.parametrize("docs,shards,copies", [(3000, 7, 0), (400, 40, 0), (900, 5, 700), (30, 40, 0), (250, 12, 90)])
+def test_capacity_is_smallest_over_groups(spark, docs, shards, copies, monkeypatch):
+    """The largest shard is as large as a search over all ordered groups makes it, also where ranges hold many groups."""
+    monkeypatch.setattr(sharding, "UNIT_DIGITS", 1)
+    texts = [prose(n, 1 + n * n % 61) for n in range(docs)] + [prose(1, 20)] * copies + [None, "", ""]
+    rows = sharding.shard_documents(spark.createDataFrame(rows_of(texts), SCHEMA), shards=shards).collect()
+    assert len(rows) == len(texts)
+    size, home, load = Counter(), defaultdict(set), Counter()
+    for r in rows:
+        digest = hashlib.md5((texts[r.doc_id] or "").encode()).hexdigest()
+        size[digest] += r["size"]
+        home[digest].add(r.shard)
+        load[r.shard] += r["size"]
+    total = sum(size.values())
+    order = sorted(size, key=lambda d: (size[d] * shards <= total, d))
+    prefix = np.concatenate([[0], np.cumsum([size[d] for d in order])])
+    assert max(load.values()) == sharding.smallest_capacity(prefix, 0, shards)
+    homes = [next(iter(home[d])) for d in order]
+    assert all(len(h) == 1 for h in home.values()) and homes == sorted(homes) and homes[-1] < shards
+    for shard in load:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
 def test_licences(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "x All rights reserved. ALL RIGHTS RESERVED", None, "", "all the rights reserved",
              "This work is licensed under the GNU General Public License, version 3.", "cc by", "general public", "ccby cc  by",
