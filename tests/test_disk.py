@@ -56,10 +56,11 @@ def test_as_of_join_of_two_tables_deals_out_the_facts_once(spark):
     plain = {(r.id, next((v[1] for v in ((1, 1, days[3], days[9]), (1, 2, days[12], OPEN), (2, 3, T0, days[1]))
                           if r.k == v[0] and r["at"] is not None and v[2] <= r["at"] < v[3]), -1)) for r in facts.collect()}
     assert {(r.id, r.p) for r in got.collect()} == plain
-    text = plan(got)
-    # The raw record takes no part in it, and the facts' ids are shuffled once.
-    assert "raw#" not in text
-    assert len(re.findall(r"Window \[last\(_version_0", text)) == 1
+    # The facts are packed once for both tables, as their ids alone.
+    text = plan(join_versions(facts, {"p": (one, "sk"), "q": (two, "sk")}, "k", F.col("at"), -1, keep=["id"]))
+    assert re.findall(r"struct\(([^)]*)\) AS _fact#", text) and all(
+        "raw" not in packed for packed in re.findall(r"struct\(([^)]*)\) AS _fact#", text))
+    assert len(re.findall(r"struct\([^)]*\) AS _fact#", text)) == 1
     whole = join_version(facts, one, "k", "sk", F.col("at"), -1)
     assert whole.dtypes == [*facts.dtypes, ("sk", "bigint")]
 
