@@ -11,11 +11,23 @@ WORDS = r"[^\x20\x09-\x0D]+"
 # Keys of at most this many rows (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+# Bytes of rows that a task hands to Python, or gets back, at once.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on tasks and Python exchange Arrow batches of about ``BATCH_BYTES``, or of one row that is longer.
+
+    Spark's own bound is 10,000 rows or 64 MB, so a task would hold a whole file split of texts at once, and its Python
+    worker again. Set on the session, as results are computed after an operator has returned.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves remainder 0 on division by 5; a NULL id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelake.llm.common import item_slices, keep_keys, packed, table, text_key
+from farelake.llm.common import item_slices, keep_keys, packed, small_batches, table, text_key
 from farelake.llm.shingles import PUNCTUATION, _PLACE, pieces, scramble, word_hashes
 from farelake.session import durable
 
@@ -293,6 +293,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
           answer_share: float = ANSWER_SHARE) -> DataFrame:
     """A row for each document and item found in it, with score, overlaps and the span of passages in words."""
     spark = docs.sparkSession
+    small_batches(spark)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     tests = durable(tests.where("text is not null").distinct(), "benchmark-items")
     n = tests.count()

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farelake.llm.common import keep_keys, packed, table, text_key
+from farelake.llm.common import keep_keys, packed, small_batches, table, text_key
 from farelake.llm.components import components
 from farelake.llm.partenum import signatures
 from farelake.llm.shingles import document_sets
@@ -49,6 +49,8 @@ REMEMBERED_SETS = 1_000_000
 # Members of the sets in one block, about as many bytes of sketches.
 BLOCK_MEMBERS = 400_000
 HOT_SIGNATURES = 1000
+# Signatures that a task counts at once, whatever the size of its batches.
+SIGNATURES_AT_ONCE = 1 << 20
 
 
 def _set_key(members: np.ndarray) -> int:
@@ -92,13 +94,28 @@ def _likely_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
 
+def _counted(frequent: dict[int, int], signs: list[np.ndarray]) -> dict[int, int]:
+    """The counters with those of ``signs`` that are met more than once."""
+    if not signs:
+        return frequent
+    sign, met = np.unique(np.concatenate(signs), return_counts=True)
+    for x, c in zip(sign[met > 1].view(np.int64).tolist(), met[met > 1].tolist()):
+        frequent[x] = frequent.get(x, 0) + c
+    if len(frequent) > 20 * HOT_SIGNATURES:  # all counters go down by the same, as in Misra-Gries
+        less = sorted(frequent.values())[-10 * HOT_SIGNATURES]
+        frequent = {x: c - less for x, c in frequent.items() if c > less}
+    return frequent
+
+
 def _key_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Set size and key of each document; then the task's frequent signatures, in rows without a text key."""
     seen: set[int] = set()
     frequent: dict[int, int] = {}
+    signs: list[np.ndarray] = []
+    waiting = 0
     names = ["doc_id", "text_key", "n_shingles", "set_key", "sketch", "sign", "met"]
     for batch in batches:
-        keys, counts, signs, sketches = [], [], [], []
+        keys, counts, sketches = [], [], []
         for _, members in document_sets(batch.column("text"), size):
             key = _set_key(members) if len(members) else None
             keys.append(key)
@@ -109,17 +126,15 @@ def _key_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
                     seen.add(key)
                 sketches[-1] = sketch(members).tobytes()
                 signs.append(signatures(members, percent))
-        if signs:
-            sign, met = np.unique(np.concatenate(signs), return_counts=True)
-            for x, c in zip(sign[met > 1].view(np.int64).tolist(), met[met > 1].tolist()):
-                frequent[x] = frequent.get(x, 0) + c
-            if len(frequent) > 20 * HOT_SIGNATURES:  # all counters go down by the same, as in Misra-Gries
-                less = sorted(frequent.values())[-10 * HOT_SIGNATURES]
-                frequent = {x: c - less for x, c in frequent.items() if c > less}
+                waiting += len(signs[-1])
+                if waiting >= SIGNATURES_AT_ONCE:
+                    frequent = _counted(frequent, signs)
+                    signs, waiting = [], 0
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()),
              pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+    frequent = _counted(frequent, signs)
     top = sorted(frequent.items(), key=lambda x: -x[1])[:HOT_SIGNATURES]
     n = len(top)
     yield pa.RecordBatch.from_arrays(
@@ -253,6 +268,7 @@ def shared_signatures(texts: DataFrame, keyed: DataFrame, size: int, percent: in
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
                 percent: int = PERCENT) -> DataFrame:
     """Per document (doc_id, text_key, n_shingles, set_key, component_id)."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     keyed = durable(texts.mapInArrow(
         partial(_key_batches, size=size, percent=percent),

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from farelake.llm.common import packed, table
@@ -36,6 +37,7 @@ SHARDS = 40
 # Ranges are named by the first hex digits of the text's MD5: at first 16 ** 3 rows come to the driver.
 UNIT_DIGITS = 3
 ROW_OVERHEAD = 16
+UNIT_PLAN = pa.schema([("unit", pa.string()), ("cells", pa.int64()), ("base", pa.int32()), ("cuts", pa.list_(pa.string()))])
 
 
 def greedy_cuts(prefix: np.ndarray, start: int, shards: int, capacity: int) -> list[int]:
@@ -163,9 +165,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     ranges = plan_shards(narrow, units, shards)
     cell_rows = max(256, int(units["n"].sum()) // 16 ** UNIT_DIGITS // 4)
     plan = _unit_plan(ranges, units, units["n"] // cell_rows + 1)
-    # One row a unit, at most 16 ** UNIT_DIGITS.
-    plan = F.broadcast(docs.sparkSession.createDataFrame(
-        plan.to_dict("records"), "unit string, cells long, base int, cuts array<string>"))
+    # One row a unit, at most 16 ** UNIT_DIGITS; an Arrow table needs no Python on the executors, which lists of rows do.
+    plan = F.broadcast(docs.sparkSession.createDataFrame(pa.Table.from_pylist(plan.to_dict("records"), UNIT_PLAN)))
     # Fewer groups than shards are larger than an even share.
     hot = [F.lit(v) for r in ranges[ranges["hot"]].itertuples() for v in (r.digest, int(r.shard))]
     own = F.try_element_at(F.create_map(*hot), F.col("digest")) if hot else F.lit(None).cast("int")

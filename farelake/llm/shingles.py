@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Bytes of text whose hashes are held at once in a task.
-PIECE_BYTES = 1 << 20
+# Bytes of text whose hashes are held at once in a task; powers of the hash base are kept up to MOST_POWERS.
+PIECE_BYTES = 1 << 18
+MOST_POWERS = 1 << 22
 
 _random = np.random.default_rng(20240607)
 _CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -50,7 +51,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(size, _UNBASE if inverse else _BASE, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 4 * PIECE_BYTES:
+        if size <= MOST_POWERS:
             _powers[name] = have
     return have[:n]
 
