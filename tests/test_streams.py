@@ -82,3 +82,17 @@ def test_updates_without_a_raw_record_are_kept(spark, tmp_path):
     stream = jobs.file_stream(spark, source, spark.createDataFrame([], cols).schema)
     got = jobs.run_available(jobs.stream_staging(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(str(r.status) for r in got.collect()) == ["COMPLETED", "None", "REQUESTED"]
+
+
+def test_staging_state_is_a_digest_a_delivery(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 10)
+    cols = "trip_id string, status string, fare_breakdown string, raw_data string, ingestion_timestamp timestamp_ntz"
+    rows = [("t", "A", None, None, at), ("u", "A", None, None, at), ("u", "A", None, None, at + dt.timedelta(hours=1)), (None, "A", None, None, at)]
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.createDataFrame(rows, cols).write.parquet(source)
+    got = jobs.run_available(jobs.stream_staging(jobs.file_stream(spark, source, spark.createDataFrame([], cols).schema)), out, progress)
+    assert sorted(r.trip_id for r in got.collect()) == ["t", "u"]
+    state = spark.read.format("statestore").option("batchId", 0).load(progress)
+    assert {len(r.d) for r in state.select(F.col("key._delivery").alias("d")).collect()} == {32} and state.count() == 2
+    assert state.schema["key"].dataType.names == ["_delivery"]
+    assert all(".zstd." in f for f in got.inputFiles())
