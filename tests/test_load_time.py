@@ -1,7 +1,12 @@
 """Loads work wide expressions and tables out no more often than they must."""
 
-from farelake.plans import facts
-from tests.test_histories import plan
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from farelake.plans import dimensions, facts
+from farelake.plans.increment import IncrementalLoad
+from tests.test_histories import T0, plan
 
 
 def test_json_checks_work_each_text_out_once(spark):
@@ -18,3 +23,29 @@ def test_json_checks_work_each_text_out_once(spark):
     for rows in (facts.valid_rows(df), facts.quarantined_rows(df)):
         text = plan(rows)
         assert text.count('{"fare":') == text.count('{"raw":') == 1
+
+
+def test_minutes_are_made_by_several_tasks(spark):
+    days = spark.createDataFrame([(T0 + dt.timedelta(days=d),) for d in range(40)], "at timestamp_ntz")
+    made = dimensions.minutes_of(days.unionByName(days), "at").withColumn("task", F.spark_partition_id())
+    assert made.count() == 40 * 1440 and made.select("task").distinct().count() > 1
+
+
+def test_increment_makes_minutes_of_days_that_are_new_or_have_other_holidays(spark, tmp_path):
+    job = IncrementalLoad(spark, str(tmp_path), T0, grain="month")
+    day = lambda n: T0 + dt.timedelta(days=n)
+    calendar = lambda *named: spark.createDataFrame([(day(n).date(), name) for n, name in named], "holiday_date date, holiday_name string")
+    states = lambda *at: spark.createDataFrame([(day(n), None, None) for n in at], "requested_at timestamp_ntz, pickup_at timestamp_ntz, dropoff_at timestamp_ntz")
+    paid = lambda *at: spark.createDataFrame([(day(n),) for n in at], "payment_timestamp timestamp_ntz")
+    whole = lambda last, holidays: dimensions.dim_time(dimensions.minutes_of(
+        spark.createDataFrame([(day(n),) for n in range(last + 1)], "at timestamp_ntz"), "at"), holidays)
+    job._store(whole(4, calendar((1, "one"), (2, "two"))), "dim_time")
+    cases = [(calendar((1, "one"), (2, "two"), (90, "far")), [0, 4], [3], []), (calendar((1, "one"), (2, "other"), (3, "three")), [2], [], [2, 3]),
+             (calendar((2, "two")), [], [6], [1, 5, 6]), (calendar((1, "one"), (1, "again"), (2, "two")), [1], [1], [1])]
+    for holidays, at, payments, want in cases:
+        new = {"holidays": holidays, "raw_payments": paid(*payments)}
+        days = job._new_days(new, states(*at))
+        assert {r.full_date for r in days.collect()} == {day(n).date() for n in want}
+        got = job._times(new, days)
+        assert sorted(map(str, got.collect())) == sorted(map(str, job.table("dim_time").limit(0).unionByName(
+            whole(max([4, *payments]), holidays)).collect()))
